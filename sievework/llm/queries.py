@@ -4,16 +4,29 @@ from __future__ import annotations
 
 import os
 
-from sievework.llm import bpe
+from sievework.llm import bpe, warc
 from sievework.llm.shared import table
 
 #: Folder of the public vocabularies; a parameter of the deployment.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 
 
+def op5_warc(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op10_bpe(spark, sf_dir):
     return bpe.token_digests(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
-QUERIES = {"op10_bpe": op10_bpe}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op5_warc": op5_warc, "op10_bpe": op10_bpe}
+ORACLES: dict[str, str] = {
+    "op5_warc": """
+with p as (select page_id, coalesce(html, '') as html from pages),
+q as (select page_id, strlen(html)::bigint as payload_bytes, sha256(html) as payload_digest from p),
+f as (select payload_digest, min(page_id) as first from q where payload_bytes >= 100 group by 1)
+select q.page_id, q.payload_bytes, q.payload_digest,
+  case when f.first < q.page_id then 'revisit' else 'response' end as record_type,
+  case when f.first < q.page_id then f.first end as refers_to
+from q left join f on q.payload_digest = f.payload_digest and q.payload_bytes >= 100""",
+}
