@@ -4,13 +4,24 @@ from __future__ import annotations
 
 import os
 
-from sievework.llm import bpe, warc
-from sievework.llm.shared import table
+from sievework.llm import bpe, pii, quality, warc
+from sievework.llm.shared import Scratch, table
 
 #: Folder of the public vocabularies; a parameter of the deployment.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 
 
+def op3_pii(spark, sf_dir):
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+def op4_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    found = quality.assess(docs, Scratch(spark, "quality"))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return found.select("doc_id", *counts, "base_failed", "kept", "lang", "log_perplexity")
+
+
 def op5_warc(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -19,7 +30,7 @@ def op10_bpe(spark, sf_dir):
     return bpe.token_digests(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
-QUERIES = {"op5_warc": op5_warc, "op10_bpe": op10_bpe}
+QUERIES = {"op3_pii": op3_pii, "op4_quality": op4_quality, "op5_warc": op5_warc, "op10_bpe": op10_bpe}
 ORACLES: dict[str, str] = {
     "op5_warc": """
 with p as (select page_id, coalesce(html, '') as html from pages),
