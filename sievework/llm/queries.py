@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import os
 
-from sievework.llm import bpe, pii, quality, warc
+from sievework.llm import bpe, hmm, pii, quality, warc
 from sievework.llm.shared import Scratch, table
 
 #: Folder of the public vocabularies; a parameter of the deployment.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 
 
+def op1_hmm(spark, sf_dir):
+    return hmm.score(table(spark, sf_dir, "documents"), Scratch(spark, "hmm"))
+
+
 def op3_pii(spark, sf_dir):
     return pii.find(table(spark, sf_dir, "documents"))
 
@@ -30,7 +34,7 @@ def op10_bpe(spark, sf_dir):
     return bpe.token_digests(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
-QUERIES = {"op3_pii": op3_pii, "op4_quality": op4_quality, "op5_warc": op5_warc, "op10_bpe": op10_bpe}
+QUERIES = {"op1_hmm": op1_hmm, "op3_pii": op3_pii, "op4_quality": op4_quality, "op5_warc": op5_warc, "op10_bpe": op10_bpe}
 ORACLES: dict[str, str] = {
     "op5_warc": """
 with p as (select page_id, coalesce(html, '') as html from pages),
