@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from sievework.llm import bpe, hmm, pii, quality, warc
+from sievework.llm import bpe, hmm, html, pii, quality, warc
 from sievework.llm.shared import Scratch, table
 
 #: Folder of the public vocabularies; a parameter of the deployment.
@@ -30,11 +30,15 @@ def op5_warc(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op8_html(spark, sf_dir):
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_bpe(spark, sf_dir):
     return bpe.token_digests(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
-QUERIES = {"op1_hmm": op1_hmm, "op3_pii": op3_pii, "op4_quality": op4_quality, "op5_warc": op5_warc, "op10_bpe": op10_bpe}
+QUERIES = {"op1_hmm": op1_hmm, "op3_pii": op3_pii, "op4_quality": op4_quality, "op5_warc": op5_warc, "op8_html": op8_html, "op10_bpe": op10_bpe}
 ORACLES: dict[str, str] = {
     "op5_warc": """
 with p as (select page_id, coalesce(html, '') as html from pages),
