@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 
-from sievework.llm import bpe, hmm, html, pii, quality, warc
+from pyspark.sql import functions as F
+
+from sievework.llm import bpe, hmm, html, jaccard, pii, quality, warc
 from sievework.llm.shared import Scratch, table
 
 #: Folder of the public vocabularies; a parameter of the deployment.
@@ -34,11 +36,19 @@ def op8_html(spark, sf_dir):
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op9_jaccard(spark, sf_dir):
+    """class_id: the smallest doc_id that links lead to; n_links: rows linked to; n_text_links: different texts linked to."""
+    found = jaccard.join(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark, "jaccard"))
+    found = found.select("doc_id", "group_id", "n_links", "n_text_links")
+    first = found.filter("n_links > 0").groupBy("group_id").agg(F.min("doc_id").alias("first"))
+    return found.join(first, "group_id", "left").select("doc_id", F.coalesce("first", "doc_id").alias("class_id"), "n_links", "n_text_links")
+
+
 def op10_bpe(spark, sf_dir):
     return bpe.token_digests(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
-QUERIES = {"op1_hmm": op1_hmm, "op3_pii": op3_pii, "op4_quality": op4_quality, "op5_warc": op5_warc, "op8_html": op8_html, "op10_bpe": op10_bpe}
+QUERIES = {"op1_hmm": op1_hmm, "op3_pii": op3_pii, "op4_quality": op4_quality, "op5_warc": op5_warc, "op8_html": op8_html, "op9_jaccard": op9_jaccard, "op10_bpe": op10_bpe}
 ORACLES: dict[str, str] = {
     "op5_warc": """
 with p as (select page_id, coalesce(html, '') as html from pages),
