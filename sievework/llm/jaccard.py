@@ -173,3 +173,9 @@ def join(docs: DataFrame, scratch: Scratch, text_col: str = "text", threshold: f
     out = signed.join(by_set, ["_set1", "_set2", "_size"], "left")
     group, n, t = F.coalesce("_group", "row_id"), F.coalesce("_n", F.lit(0)), F.coalesce("_t", F.lit(0))
     return out.withColumn("group_id", group).withColumn("n_links", n).withColumn("n_text_links", t).drop("_set1", "_set2", "_size", "_sig", "_group", "_n", "_t")
+
+
+def representatives(docs: DataFrame, scratch: Scratch, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` without those that ``join`` links, directly or over others, to a row before them."""
+    found = join(docs, scratch, text_col, threshold)
+    return found.filter("row_id = group_id").drop("row_id", "group_id", "n_links", "n_text_links")

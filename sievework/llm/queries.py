@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from sievework.llm import bpe, decontaminate, hmm, html, jaccard, lines, pii, quality, warc
+from sievework.llm import bpe, decontaminate, hmm, html, jaccard, lines, passages, pii, quality, warc
 from sievework.llm.shared import Scratch, table
 
 #: Folder of the public vocabularies; a parameter of the deployment.
@@ -17,6 +17,10 @@ def op1_hmm(spark, sf_dir):
     return hmm.score(table(spark, sf_dir, "documents"), Scratch(spark, "hmm"))
 
 
+def op2_passages(spark, sf_dir):
+    return passages.find(table(spark, sf_dir, "documents"), Scratch(spark, "passages"))
+
+
 def op3_pii(spark, sf_dir):
     return pii.find(table(spark, sf_dir, "documents"))
 
@@ -57,7 +61,7 @@ def op10_bpe(spark, sf_dir):
     return bpe.token_digests(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
-QUERIES = {"op1_hmm": op1_hmm, "op3_pii": op3_pii, "op4_quality": op4_quality, "op5_warc": op5_warc, "op6_lines": op6_lines, "op7_decontaminate": op7_decontaminate, "op8_html": op8_html, "op9_jaccard": op9_jaccard, "op10_bpe": op10_bpe}
+QUERIES = {"op1_hmm": op1_hmm, "op2_passages": op2_passages, "op3_pii": op3_pii, "op4_quality": op4_quality, "op5_warc": op5_warc, "op6_lines": op6_lines, "op7_decontaminate": op7_decontaminate, "op8_html": op8_html, "op9_jaccard": op9_jaccard, "op10_bpe": op10_bpe}
 ORACLES: dict[str, str] = {
     "op5_warc": """
 with p as (select page_id, coalesce(html, '') as html from pages),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -48,6 +49,15 @@ class Scratch:
         for df in frames:
             self.remove(df._scratch_path)
 
+    def clear(self) -> None:
+        """Delete all of this scratch's tables."""
+        self.remove(self.root)
+
+    def release(self) -> None:
+        """Let Spark remove the shuffle files of finished jobs now: it does so when the driver's garbage is collected."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def remove(self, path: str) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         at = jvm.org.apache.hadoop.fs.Path(path)
