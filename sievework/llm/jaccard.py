@@ -147,7 +147,7 @@ def join(docs: DataFrame, scratch: Scratch, text_col: str = "text", threshold: f
 
     Two rows are linked if the Jaccard similarity of their shingle sets is at least ``threshold``. row_id numbers the rows;
     group_id is the smallest row_id that links lead to; n_links counts the rows that a row is linked to, n_text_links
-    those with different sets, copies once. Null, empty and blank texts have no shingles and no links, and are a group each.
+    those with different sets, copies once. Null, empty and blank texts have no shingles; they are copies of each other and linked to nothing else.
     Repeated rows are copies of each other. Columns of the added names are replaced, others pass through. An empty table
     gives an empty result.
     """
@@ -156,7 +156,7 @@ def join(docs: DataFrame, scratch: Scratch, text_col: str = "text", threshold: f
     schema = type(docs.schema)([*docs.schema.fields, *(StructField(c, LongType()) for c in ("_size", "_set1", "_set2")), StructField("_sig", BinaryType())])
     signed = scratch.keep(docs.mapInArrow(partial(_sign, text_col=text_col, words=words), schema), "signed")
     some = signed.filter("_size > 0")
-    sets = some.groupBy("_set1", "_set2", "_size").agg(F.min("row_id").alias("id"), F.count("*").alias("copies"))
+    sets = signed.groupBy("_set1", "_set2", "_size").agg(F.min("row_id").alias("id"), F.count("*").alias("copies"))
     sets = scratch.keep(sets, "sets")
     firsts = some.select(F.col("row_id").alias("id"), "_sig").join(sets.select("id"), "id", "left_semi")
     edges = groups.star_edges(firsts.select("id", "_sig").mapInArrow(_band, "key long, id long"), scratch)
