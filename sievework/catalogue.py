@@ -1,4 +1,6 @@
 """Names of the queries over the driver's tables, with their oracle SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from sievework.plans import selection
+
+QUERIES: dict = dict(selection.QUERIES)
+ORACLES: dict = dict(selection.ORACLES)
