@@ -1,6 +1,6 @@
 """Names of the queries over the driver's tables, with their oracle SQL."""
 
-from sievework.plans import selection
+from sievework.plans import models, selection, text
 
-QUERIES: dict = dict(selection.QUERIES)
-ORACLES: dict = dict(selection.ORACLES)
+QUERIES: dict = selection.QUERIES | text.QUERIES | models.QUERIES
+ORACLES: dict = selection.ORACLES | text.ORACLES | models.ORACLES
