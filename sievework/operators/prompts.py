@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from sievework.enums import CONTEXT_RESERVE, DEFAULT_CONTEXT
 from sievework.functions.text import names, strip, tokens
@@ -76,7 +77,7 @@ def answered(prompts: DataFrame, ask, column: str = "prompt") -> DataFrame:
         for pdf in batches:
             yield pdf.assign(response=[ask(p) for p in pdf[column]])
 
-    return prompts.mapInPandas(run, prompts.schema.add("response", "string"))
+    return prompts.mapInPandas(run, StructType([*prompts.schema.fields, StructField("response", StringType())]))
 
 
 def clean_answer(c: Column) -> Column:
