@@ -76,6 +76,13 @@ def chunks(texts: list[str], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, in
         yield start, len(texts)
 
 
+def pieces(batches, rows: int = 1000):
+    """Batches of fewer rows, so that their texts are Python objects for a short time only."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit finaliser: multiply and shift so that every bit of the input moves every bit of the result."""
     x = x.astype(np.uint64) ^ np.uint64((seed * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
