@@ -72,7 +72,7 @@ class Lexicon:
         order = np.argsort(hashes)
         self.hashes, self.counts = hashes[order], counts[order]
         self.total, self.types, self.texts = total, types, texts
-        common = np.flatnonzero(self.counts >= max(1.0, COMMON * total))
+        common = np.flatnonzero(self.counts >= max(2.0, COMMON * total))
         self.symbol = np.full(len(self.hashes), -1, np.int32)
         self.symbol[common] = np.arange(1, len(common) + 1)  # 0 is the end of a text
         self.first_class = len(common) + 1
@@ -106,7 +106,7 @@ def lexicon(docs: DataFrame, scratch: Scratch) -> tuple[Lexicon, DataFrame]:
     words, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     total = words + texts
     known = counts.filter(F.col("n") >= max(2.0, KNOWN * total)).toArrow()
-    rare = counts.filter(F.col("n") < max(1.0, COMMON * total))
+    rare = counts.filter(F.col("n") < max(2.0, COMMON * total))
     by_class = rare.groupBy("cls").agg(F.sum("n"), F.count("*"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).collect()
     classes = np.zeros((CLASSES, 2))
     for r in by_class:
