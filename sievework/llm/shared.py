@@ -18,13 +18,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; where it is unset, as in tests, a new one of this machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="sievework-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    if base := spark.conf.get("spark.checkpoint.dir", None):
+        return base
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = "file://" + tempfile.mkdtemp(prefix="sievework-")
+    return _own[app]
 
 
 class Scratch:
