@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.operators.flatzinc import commas
+from sievework.shipping import ship
 
 MOST, KEEP, CHARS, KEEP_CHARS = 200, 30, 80, 80
 
@@ -65,6 +66,7 @@ def sanitized(files: DataFrame) -> DataFrame:
             new = [None if t is None else shortened(t) for t in pdf["text"]]
             yield pd.DataFrame({"file": pdf["file"], "text": new, "changed": [a is not None and a != b for a, b in zip(new, pdf["text"], strict=True)]})
 
+    ship(files.sparkSession)
     return files.select("file", "text").mapInPandas(run, "file string, text string, changed boolean")
 
 

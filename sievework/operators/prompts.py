@@ -8,6 +8,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from sievework.enums import CONTEXT_RESERVE, DEFAULT_CONTEXT
 from sievework.functions.text import names, strip, tokens
+from sievework.shipping import ship
 
 
 def tasks(models: DataFrame, instances: DataFrame) -> DataFrame:
@@ -77,6 +78,7 @@ def answered(prompts: DataFrame, ask, column: str = "prompt") -> DataFrame:
         for pdf in batches:
             yield pdf.assign(response=[ask(p) for p in pdf[column]])
 
+    ship(prompts.sparkSession)
     return prompts.mapInPandas(run, StructType([*prompts.schema.fields, StructField("response", StringType())]))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.operators.taxonomy import filled
+from sievework.shipping import ship
 
 RESULT_COLUMNS = ["problem", "instance", "solver", "status", "time", "objective", "score", "score_incomplete", "score_area"]
 
@@ -77,6 +78,7 @@ def table_rows(pages: DataFrame) -> DataFrame:
                 out += [(url, i, c) for i, c in enumerate(p.rows) if c]
             yield pd.DataFrame(out, columns=["url", "row", "cells"])
 
+    ship(pages.sparkSession)
     return pages.select("url", "html").mapInPandas(run, "url string, row long, cells array<string>")
 
 
