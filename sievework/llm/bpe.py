@@ -25,6 +25,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from sievework.shipping import ship
+
 #: The pre-tokenizer's pattern, a fixed value of the vocabulary's format.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words whose ids a worker keeps; when full, the table starts anew.
@@ -171,6 +173,7 @@ def encode(docs: DataFrame, tokenizer: str, text_col: str = "text", decoded: boo
     the data, so it is broadcast. A null or empty text has no ids and decodes to an empty text; repeated rows stay;
     other columns pass through, save that columns of the two names above are replaced. An empty table gives an empty result.
     """
+    ship(docs.sparkSession)
     made = ["token_ids", "decoded"] if decoded else ["token_ids"]
     docs = docs.drop(*made)
     raw = docs.sparkSession.sparkContext.broadcast(_read(tokenizer))
@@ -201,5 +204,6 @@ def token_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     Null and empty texts have no tokens; repeated rows give repeated results; other columns are ignored.
     """
+    ship(docs.sparkSession)
     raw = docs.sparkSession.sparkContext.broadcast(_read(tokenizer))
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(partial(_digest, raw=raw), SCHEMA)

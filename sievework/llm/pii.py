@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from sievework.shipping import ship
+
 KINDS = ["email", "ip", "card", "phone"]
 #: The contract's patterns; fixed values.
 PATTERNS = {
@@ -282,5 +284,6 @@ def find(docs: DataFrame) -> DataFrame:
     Offsets count code points; ends are exclusive. A null or empty text has no spans (an empty string); repeated
     rows give repeated results; other columns are ignored; an empty table gives an empty result.
     """
+    ship(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(train())
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(partial(_find, model=model), SCHEMA)

@@ -10,6 +10,8 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from sievework.shipping import ship
+
 #: Characters that one vectorised step works on at most, but for a single longer text.
 CHUNK_CHARS = 4_000_000
 
@@ -35,6 +37,7 @@ class Scratch:
     """Tables written to the shared folder, which cuts lineage and survives lost executors."""
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark, self.root, self.count = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
 
     def path(self, name: str = "t") -> str:
