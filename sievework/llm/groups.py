@@ -34,7 +34,8 @@ def bands(signatures: np.ndarray, count: int, rows: int) -> np.ndarray:
 
 def star_edges(keyed: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b), a > b: each member of a bucket and the bucket's smallest; ``keyed`` has (key, id)."""
-    first = keyed.groupBy("key").agg(F.min("id").alias("b"), F.max("id").alias("top")).filter("top > b").select("key", "b")
+    first = scratch.keep(keyed.groupBy("key").agg(F.min("id").alias("b"), F.count("*").alias("n")).filter("n > 1").select("key", "b"), "buckets")
+    scratch.release()
     return scratch.keep(keyed.join(first, "key").filter("id > b").select(F.col("id").alias("a"), "b").distinct(), "stars")
 
 
