@@ -11,7 +11,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
-from functools import partial
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -285,7 +285,9 @@ class Chain:
                     self.weight[x] = self.weight.get(x, 0.0) + g
 
 
+@cache
 def train() -> Chain:
+    """The field fitted to the labelled pages, once a process."""
     chain = Chain()
     data = []
     for page, main in examples():

@@ -13,7 +13,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from functools import partial
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -238,6 +238,7 @@ def examples(count: int = EXAMPLES, seed: int = 20) -> list[tuple[str, set]]:
     return out
 
 
+@cache
 def train(rate: float = 0.3) -> tuple[dict[str, float], np.ndarray]:
     """Weights of features and of label pairs, fitted to the labelled stretches by stochastic gradient ascent."""
     weights: dict[str, float] = {}
