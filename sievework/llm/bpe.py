@@ -25,12 +25,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from sievework.llm.shared import pieces
 from sievework.shipping import ship
 
 #: The pre-tokenizer's pattern, a fixed value of the vocabulary's format.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words whose ids a worker keeps; when full, the table starts anew.
-KEPT_WORDS = 400_000
+#: Words whose ids a worker keeps, and cells of the transition table; a table that is full starts anew.
+KEPT_WORDS, KEPT_CELLS = 250_000, 500_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -108,7 +109,7 @@ class Automaton(dict):
                     cell = last[start] << 20 | token
                     ok = cells.get(cell)
                     if ok is None:
-                        if len(cells) >= 4 * KEPT_WORDS:
+                        if len(cells) >= KEPT_CELLS:
                             cells.clear()
                         ok = cells[cell] = self._arc(last[start], token, 1 << 40)
                     if not ok:
@@ -160,7 +161,7 @@ def _read(tokenizer: str) -> str:
 
 def _encode(batches, raw, text_col, decoded):
     a = automaton(raw.value)
-    for b in batches:
+    for b in pieces(batches):
         ids = [a.encode(t or "") for t in b.column(text_col).to_pylist()]
         out = b.append_column("token_ids", pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in ids], pa.list_(pa.int32())))
         yield out.append_column("decoded", pa.array([a.decode(x) for x in ids], pa.string())) if decoded else out
@@ -188,7 +189,7 @@ def encode(docs: DataFrame, tokenizer: str, text_col: str = "text", decoded: boo
 
 def _digest(batches, raw):
     a, sha = automaton(raw.value), lambda x: hashlib.sha256(x).hexdigest()
-    for b in batches:
+    for b in pieces(batches):
         texts = b.column("text").to_pylist()
         n, digests, back = [], [], []
         for t in texts:
