@@ -24,8 +24,6 @@ MAGIC = b"WARC/1.0\r\n"
 #: Payloads below this many bytes are always stored in full.
 LEAST_REVISIT = 100
 RANGE_BYTES = 16 << 20
-#: A header block is read up to this many bytes; a longer one isn't a record.
-MOST_HEADER = 64 << 10
 END = -1  # the chain ends in a place that is no record and not the file's end
 
 
@@ -112,7 +110,8 @@ class _Bytes:
 
     def header(self, offset: int) -> tuple[int, dict] | None:
         """Bytes of the header block at ``offset``, and its fields; None if there is no well-formed one."""
-        for n in (1024, MOST_HEADER):
+        n = 1024
+        while True:
             raw = self.at(offset, n)
             if not raw.startswith(MAGIC):
                 return None
@@ -121,7 +120,7 @@ class _Bytes:
                 return (end + 4, fields) if fields.get(b"Content-Length", b"").isdigit() else None
             if len(raw) < n:
                 return None
-        return None
+            n *= 2
 
 
 def _scan(batches):
@@ -171,7 +170,7 @@ def _page(value: bytes | None) -> int | None:
     return int(digits[1]) if digits else None
 
 
-def _follow(batches, payloads: bool):
+def _follow(batches, payloads: bool, whole_files: bool):
     """The records of each range, from where the chain enters it; digests are of the bytes as stored."""
     names = [x.split()[0] for x in READ_SCHEMA.split(", ")]
     for b in batches:
@@ -192,6 +191,8 @@ def _follow(batches, payloads: bool):
                     if size > 4 << 20:
                         yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in rows], schema=_schema())
                         rows, size = [], 0
+                if whole_files and not stop <= offset <= r["size"]:
+                    raise ValueError(f"{r['file']}: the record chain ends at {offset}, not at the file's end {r['size']}")
             yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in rows], schema=_schema())
 
 
@@ -199,18 +200,18 @@ def _schema() -> pa.Schema:
     return pa.schema([(n, pa.int64() if t == "long" else pa.string()) for n, t in (x.split() for x in READ_SCHEMA.split(", "))])
 
 
-def read(spark: SparkSession, path: str, scratch: Scratch, range_bytes: int = RANGE_BYTES, payloads: bool = True) -> DataFrame:
+def read(spark: SparkSession, path: str, scratch: Scratch, range_bytes: int = RANGE_BYTES, payloads: bool = True, whole_files: bool = False) -> DataFrame:
     """The records of all archives in a folder: where each lies, its fields, and its payload if asked for.
 
     ``payload_digest`` is computed from a response's stored bytes; ``stored_digest`` is what its header says.
     A revisit has no bytes of its own: both are what its header says, and its payload is null.
-    Bytes that cannot be reached from a file's start are no records. Empty files and folders give no rows.
+    Bytes that cannot be reached from a file's start are no records; with ``whole_files`` they raise. Empty files and folders give no rows.
     """
     cut = scratch.keep(ranges(spark, path, range_bytes).withColumn("range_bytes", F.lit(range_bytes).cast("long")), "ranges")
     entries = chain_entries(spark, cut, scratch)
     entries = entries.select("file", (F.floor(F.col("at") / range_bytes) * range_bytes).cast("long").alias("start"), "at").groupBy("file", "start").agg(F.min("at").alias("entry"))
     todo = cut.join(entries, ["file", "start"]).select("file", "size", "start", "range_bytes", "entry")
-    return todo.repartition(max(1, cut.count()), "file", "start").mapInArrow(partial(_follow, payloads=payloads), READ_SCHEMA)
+    return todo.repartition(max(1, cut.count()), "file", "start").mapInArrow(partial(_follow, payloads=payloads, whole_files=whole_files), READ_SCHEMA)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
@@ -223,4 +224,4 @@ def round_trip(pages: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "warc")
     path = scratch.path("archives")
     write(records(pages, scratch), path)
-    return read(spark, path, scratch, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read(spark, path, scratch, payloads=False, whole_files=True).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -49,3 +49,17 @@ def test_broken_chains_end(spark, tmp_path):
 
 def test_empty(spark, pages):
     assert warc.round_trip(pages.limit(0)).count() == 0
+
+
+def test_long_headers(spark):
+    """A url longer than any buffer is part of its header, and the pages behind it are found."""
+    rows = [(k, "data:," + "x" * n, f"page {k}") for k, n in enumerate([3, 1000, 70_000, 300_000, 5])]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()
+    assert sorted((r.page_id, r.payload_bytes) for r in got) == [(k, 6) for k in range(5)]
+
+
+def test_broken_chains_raise_if_asked(spark, tmp_path):
+    good = FAKE.replace("page:99", "page:1")
+    (tmp_path / "a.warc").write_bytes((good + "garbage" + good).encode())
+    with pytest.raises(Exception, match="the record chain ends"):
+        warc.read(spark, f"file://{tmp_path}", Scratch(spark, "test-raise"), 100, whole_files=True).collect()
