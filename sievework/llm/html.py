@@ -24,6 +24,10 @@ BLOCK = set("address article aside blockquote body button caption center dd deta
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is never text of the page.
 RAW = "script style noscript template iframe object svg math textarea canvas audio video".split()
+#: Of these, only those that reach the page's end if no end tag follows.
+TO_END = set("script style noscript template iframe textarea".split())
+#: A start tag of these that ends in a slash, outside an attribute's bare value, is an empty element.
+FOREIGN, SLASH = {"svg", "math"}, re.compile(r"""(?:^|["'\s]|(?:^|\s)[^\s="']+)/$""")
 #: A start tag of the key ends an open element of these, as end tags may be left out.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 TOKEN = re.compile(r"<!--(?:>|.*?(?:-->|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[/!?]?[a-zA-Z][^>]*\Z", re.S)
@@ -117,8 +121,10 @@ def blocks(page: str) -> list[tuple[str, list[str]]]:
             continue
         attributes = m[3] if m[2] else m[6]
         if name in RAW_END:
+            if name in FOREIGN and SLASH.search(attributes):
+                continue
             closing = RAW_END[name].search(page, at)
-            at = closing.end() if closing else n
+            at = closing.end() if closing else n if name in TO_END else at
             continue
         if name == "br":
             add(" ")

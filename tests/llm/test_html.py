@@ -48,3 +48,10 @@ def test_rows(spark):
     got = {r.page_id: r for r in html.extract(df).collect()}
     assert (got[1].text, got[1].n_chars) == ("x y.", 4) and (got[2].text, got[2].n_chars, got[2].url) == ("", 0, None)
     assert got[3].n_chars == 20_000 * 10 + 19_999 * 2 and html.extract(df).count() == 4 and html.extract(df.limit(0)).count() == 0
+
+
+def test_elements_without_an_end_tag():
+    texts = lambda page: [t for t, _ in html.blocks(page)]
+    assert texts("<p>A</p><svg class=icon /><p>B</p>") == ["A", "B"] == texts("<p>A</p><svg/><p>B</p>") == texts("<p>A</p><math id='m'/><p>B</p>")
+    assert texts("<p>A</p><object data=x><p>B</p>") == ["A", "B"] and texts("<p>A</p><svg/><p>B</p><svg><text>c</text></svg><p>D") == ["A", "B", "D"]
+    assert texts("<p>A</p><svg class=a/><text>c</text></svg><p>B</p>") == ["A", "B"] and texts("<p>A</p><textarea>x<p>B") == ["A"]
