@@ -2,7 +2,8 @@
 
 No step emits the pairs of a bucket. A bucket links its members to its smallest one; union-find over these links
 gives candidate groups, and every pair that any band brings together lies in one of them. A group is then dealt in
-blocks, and a task compares two blocks in memory and emits, for each member, a count of its links and one edge.
+blocks, and a task compares two blocks in memory and emits, for each member, a count of its links and one edge. Ids
+are dealt first; the members' content follows once it is known where it goes.
 """
 
 from __future__ import annotations
@@ -15,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.shared import Scratch, mix
+from sievework.llm.shared import Scratch, hot_over, mix, partitions, split_join
 
 #: A block has about so many members, and so many elements of their sets, at most.
 BLOCK_MEMBERS, BLOCK_ELEMENTS = 1024, 400_000
+#: Bits of a table of keys: 8 MB, whatever the number of keys.
+TABLE_BITS = 26
 
 
 def bands(signatures: np.ndarray, count: int, rows: int) -> np.ndarray:
@@ -32,39 +35,82 @@ def bands(signatures: np.ndarray, count: int, rows: int) -> np.ndarray:
     return out
 
 
-def star_edges(keyed: DataFrame, scratch: Scratch) -> DataFrame:
-    """(a, b), a > b: each member of a bucket and the bucket's smallest; ``keyed`` has (key, id)."""
-    first = scratch.keep(keyed.groupBy("key").agg(F.min("id").alias("b"), F.count("*").alias("n")).filter("n > 1").select("key", "b"), "buckets")
+def bit_table(keys: DataFrame) -> np.ndarray:
+    """2^TABLE_BITS bits, set at the leading bits of the keys (one column of 64 hashed bits); at most 8 MB reach the driver."""
+    key = keys.columns[0]
+    byte, bit = F.shiftrightunsigned(key, 64 - TABLE_BITS + 3), F.shiftrightunsigned(key, 64 - TABLE_BITS).bitwiseAND(F.lit(7))
+    at = keys.select(byte.alias("byte"), bit.cast("int").alias("bit")).groupBy("byte").agg(F.bit_or(F.expr("shiftleft(1, bit)")).alias("bits")).toArrow()
+    out = np.zeros(1 << TABLE_BITS - 3, np.uint8)
+    out[at.column("byte").to_numpy()] = at.column("bits").to_numpy()
+    return out
+
+
+def in_table(bits: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+    """Which of the 64-bit hashes have their bit set: all that went into the table, and some others."""
+    place = hashed.astype(np.uint64) >> np.uint64(64 - TABLE_BITS)
+    return (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _keys(batches, some=None):
+    """(key, id) of each band of each row; with a table, of the keys in it."""
+    for b in batches:
+        ids, offsets = b.column("id").to_numpy(), b.column("bands")
+        keys = np.frombuffer(b"".join(offsets.to_pylist()), np.int64)
+        ids = np.repeat(ids, len(keys) // max(1, len(ids)))
+        if some is not None:
+            keep = in_table(some.value, keys)
+            keys, ids = keys[keep], ids[keep]
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids)], names=["key", "id"])
+
+
+KEYED = "key long, id long"
+
+
+def star_edges(banded: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b), a > b: each member of a bucket and the bucket's smallest; ``banded`` has (id, bands), as many 64-bit keys a row.
+
+    Buckets are counted with partial sums. One of two members is an edge by that alone; only the keys of larger ones are read
+    again. A key of very many members is not dealt to one task.
+    """
+    least, most = F.min("id").alias("b"), F.max("id").alias("a")
+    buckets = scratch.keep(banded.mapInArrow(_keys, KEYED).groupBy("key").agg(least, most, F.count("*").alias("n")).filter("n > 1"), "buckets")
     scratch.release()
-    return scratch.keep(keyed.join(first, "key").filter("id > b").select(F.col("id").alias("a"), "b").distinct(), "stars")
+    large = buckets.filter("n > 2").select("key", "b", "n")
+    some = scratch.spark.sparkContext.broadcast(bit_table(large.select("key")))
+    again = scratch.keep(banded.mapInArrow(partial(_keys, some=some), KEYED), "again")
+    met = split_join(again, large, ["key"], hot_over(again.count())).filter("id > b").select(F.col("id").alias("a"), "b")
+    return scratch.keep(met.union(buckets.filter("n = 2").select("a", "b")).distinct(), "stars")
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each node has one edge down or only edges up."""
+    ends = edges.select(F.col("a").alias("u"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(edges.select("b", F.lit(0), F.lit(1)))
+    bad = ends.groupBy("u").agg(F.sum("down").alias("down"), F.max("up").alias("up")).filter("down > 1 or (down = 1 and up = 1)")
+    return bad.isEmpty()
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(id, root) of every id in ``edges`` (a > b): root is the smallest id that it is connected to.
+    """(id, root) of every id in ``edges`` (a > b, distinct): root is the smallest id that it is connected to.
 
-    Alternates two steps until nothing changes. The large star hangs each neighbour that is larger than a node on the
+    Alternates two steps until only stars are left. The large star hangs each neighbour that is larger than a node on the
     smallest of the node and its neighbours; the small star does so with the smaller neighbours and the node itself.
     The number of rounds grows with the logarithm of the longest path; each round's edges are written to the shared folder.
+    A node with very many neighbours is not dealt to one task.
     """
-    seen = None
-    kept = [edges]
-    while True:
-        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        large = scratch.keep(large, "large")
+    mine = False
+    while not _are_stars(edges):
+        hot = hot_over(edges.count())
+        up = edges.select(F.col("b").alias("u"), F.col("a").alias("v"), F.lit(1).alias("up"))
+        least = up.union(edges.select("a", "b", F.lit(0))).groupBy("u").agg(F.min("v").alias("m"), F.sum("up").alias("n"))
+        least = scratch.keep(least.filter("n > 0").select("u", F.least("u", "m").alias("m"), "n"), "least")
+        large = scratch.keep(split_join(up.drop("up"), least, ["u"], hot).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        scratch.drop(least)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        small = small.filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
-        edges = scratch.keep(small, "small")
-        scratch.drop(large)
-        if len(kept) > 1:
-            scratch.drop(kept.pop())
-        kept.append(edges)
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == seen:
-            return edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
-        seen = now
+        small = large.join(least, "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
+        before, edges = edges, scratch.keep(small, "small")
+        scratch.drop(large, *[before] * mine)
+        mine = True
+    return edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
 
 
 def grouped(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -73,16 +119,26 @@ def grouped(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.keep(found.union(found.select(F.col("root").alias("id"), "root").distinct()), "groups")
 
 
-def dealt(members: DataFrame, partitions: int) -> DataFrame:
-    """Members (id, root, size, ...) dealt to tasks by pairs of blocks of their group, sorted by pair.
+def dealt(members: DataFrame, banded: DataFrame, scratch: Scratch) -> DataFrame:
+    """Members (id, root, size) dealt to pairs of blocks of their group: (id, root, i, j, side), side the member's own block.
 
-    The number of a group's blocks follows from its members and their sizes; a member's block from its id. Adds i and j, the
-    pair, and ``side``: the member's block.
+    The number of a group's blocks follows from its members and their sizes; a member's block from its id. A member goes
+    to its own block, and to those other blocks that hold a member of one of its buckets: in a group that is
+    a long chain these are few, in one where all are alike all.
     """
-    blocks = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_MEMBERS), F.ceil(F.sum("size") / BLOCK_ELEMENTS)).cast("int").alias("blocks"))
-    m = members.join(blocks, "root").withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other"))
-    return m.drop("other", "blocks").repartition(partitions, "root", "i", "j").sortWithinPartitions("root", "i", "j")
+    members = scratch.keep(members.select("id", "root", "size"), "members")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_MEMBERS), F.ceil(F.sum("size") / BLOCK_ELEMENTS)).cast("int").alias("blocks")
+    sizes = scratch.keep(members.groupBy("root").agg(blocks, F.count("*").alias("n")).filter("blocks > 1"), "sizes")
+    zero = F.lit(0)
+    if sizes.isEmpty():
+        return members.select("id", "root", zero.alias("i"), zero.alias("j"), zero.alias("side"))
+    large = split_join(members, sizes, ["root"], hot_over(members.count()))
+    large = scratch.keep(large.select("id", "root", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("side")), "large")
+    keyed = scratch.keep(banded.join(large.select("id"), "id", "left_semi").mapInArrow(_keys, KEYED).join(large, "id"), "keyed")
+    there = keyed.groupBy("key", "side").agg(F.first("root").alias("root")).select("key", F.col("side").alias("other"))
+    met = keyed.join(there, "key").select("id", "root", "side", "other").union(large.select("id", "root", "side", F.col("side").alias("other"))).distinct()
+    met = met.select("id", "root", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side")
+    return members.join(sizes.select("root"), "root", "left_anti").select("id", "root", zero.alias("i"), zero.alias("j"), zero.alias("side")).union(met)
 
 
 def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -169,10 +225,8 @@ def compare(batches, decide: Callable[[dict, np.ndarray, np.ndarray], tuple[np.n
 COMPARED = "id long, links long, weight long, low long"
 
 
-def linked(members: DataFrame, decide: Callable, columns: list[str], partitions: int) -> DataFrame:
-    """Compare the members (id, root, size, copies and ``columns``) of each candidate group; see ``compare``."""
-    return dealt(members, partitions).mapInArrow(partial(compare, decide=decide, columns=columns), COMPARED)
-
-
-def partitions(spark) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def linked(members: DataFrame, content: DataFrame, banded: DataFrame, decide: Callable, columns: list[str], scratch: Scratch) -> DataFrame:
+    """Compare the members (id, root, size) of each candidate group; ``content`` has (id, copies and ``columns``). See ``compare``."""
+    jobs = dealt(members, banded, scratch).join(content.select("id", "copies", *columns), "id")
+    jobs = jobs.repartition(partitions(scratch.spark), "root", "i", "j").sortWithinPartitions("root", "i", "j")
+    return jobs.mapInArrow(partial(compare, decide=decide, columns=columns), COMPARED)

@@ -13,12 +13,12 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StructField
 
 from sievework.llm import groups
-from sievework.llm.shared import Scratch, chunks, mix, pieces
+from sievework.llm.shared import Scratch, chunks, hot_over, mix, pieces, split_join
 
 WORDS, THRESHOLD = 5, 0.8
 HASHES, BANDS, ROWS = 64, 16, 4
@@ -37,8 +37,6 @@ def shingles(texts: list[str | None], words: int = WORDS) -> tuple[np.ndarray, n
         sizes = np.array([len(w) for w in split])
         distinct: dict[bytes, int] = {}
         flat = np.array([distinct.setdefault(w, len(distinct)) for ws in split for w in ws], np.int64)
-        import xxhash
-
         own = np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, len(distinct))
         h = own[flat] if len(flat) else np.empty(0, np.uint64)
         doc = np.repeat(np.arange(len(split)), sizes)
@@ -108,9 +106,9 @@ def survivors(signatures: np.ndarray, left: np.ndarray, right: np.ndarray, need:
     return left[x], right[y]
 
 
-def _sign(batches, text_col, words):
+def _sign(batches, words):
     for b in pieces(batches):
-        values, lengths = shingles(b.column(text_col).to_pylist(), words)
+        values, lengths = shingles(b.column("text").to_pylist(), words)
         sig = minhash(values, lengths)
         starts = np.cumsum(lengths) - lengths
         some = np.flatnonzero(lengths)
@@ -118,24 +116,23 @@ def _sign(batches, text_col, words):
         for k in range(2):
             if len(some):
                 keys[k, some] = np.add.reduceat(mix(values, 31 + k), starts[some]).astype(np.int64)
-        b = b.append_column("_size", pa.array(lengths.astype(np.int64)))
-        b = b.append_column("_set1", pa.array(keys[0])).append_column("_set2", pa.array(keys[1]))
-        yield b.append_column("_sig", pa.array([r.tobytes() for r in sig], pa.binary()))
+        cols = [b.column("row_id"), pa.array(lengths.astype(np.int64)), *map(pa.array, keys), pa.array([r.tobytes() for r in sig], pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, names=["row_id", "size", "set1", "set2", "sig"])
 
 
 def _band(batches):
     for b in batches:
-        sig = np.frombuffer(b"".join(b.column("_sig").to_pylist()), np.uint32).reshape(-1, HASHES)
-        keys = groups.bands(sig, BANDS, ROWS).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(b.column("id").to_numpy(), BANDS))], names=["key", "id"])
+        sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint32).reshape(-1, HASHES)
+        keys = groups.bands(sig, BANDS, ROWS)
+        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([r.tobytes() for r in keys], pa.binary())], names=["id", "bands"])
 
 
 def _decide(rows, left, right, threshold, words, need):
-    sig = np.frombuffer(b"".join(rows["_sig"].to_pylist()), np.uint32).reshape(-1, HASHES)
+    sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint32).reshape(-1, HASHES)
     x, y = survivors(sig, left, right, need)
     if not len(x):
         return x, y
-    values, lengths = shingles(rows["_text"].to_pylist(), words)
+    values, lengths = shingles(rows["text"].to_pylist(), words)
     sets = np.split(values, np.cumsum(lengths)[:-1])
     both = groups.intersections(sets, x, y)
     ok = both >= threshold * (lengths[x] + lengths[y] - both) - 1e-9
@@ -151,31 +148,43 @@ def join(docs: DataFrame, scratch: Scratch, text_col: str = "text", threshold: f
     Repeated rows are copies of each other. Columns of the added names are replaced, others pass through. An empty table
     gives an empty result.
     """
-    spark = docs.sparkSession
-    docs = docs.drop("row_id", "group_id", "n_links", "n_text_links").withColumn("row_id", F.monotonically_increasing_id())
-    schema = type(docs.schema)([*docs.schema.fields, *(StructField(c, LongType()) for c in ("_size", "_set1", "_set2")), StructField("_sig", BinaryType())])
-    signed = scratch.keep(docs.mapInArrow(partial(_sign, text_col=text_col, words=words), schema), "signed")
-    some = signed.filter("_size > 0")
-    sets = signed.groupBy("_set1", "_set2", "_size").agg(F.min("row_id").alias("id"), F.count("*").alias("copies"))
-    sets = scratch.keep(sets, "sets")
-    firsts = some.select(F.col("row_id").alias("id"), "_sig").join(sets.select("id"), "id", "left_semi")
-    edges = groups.star_edges(firsts.select("id", "_sig").mapInArrow(_band, "key long, id long"), scratch)
-    candidates = groups.grouped(edges, scratch)
-    members = candidates.join(sets, "id").select("id", "root", F.col("_size").alias("size"), "copies")
-    members = members.join(some.select(F.col("row_id").alias("id"), "_sig", F.col(text_col).alias("_text")), "id")
+    rows = _rows(docs, scratch)
+    found = _found(rows, scratch, text_col, threshold, words).withColumnRenamed("root", "group_id")
+    out = rows.join(found, "row_id", "left")
+    return out.withColumns({"group_id": F.coalesce("group_id", "row_id"), **{c: F.coalesce(c, F.lit(0)) for c in ("n_links", "n_text_links")}})
+
+
+def _rows(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    rows = scratch.keep_by(docs.drop("row_id", "group_id", "n_links", "n_text_links").withColumn("row_id", F.monotonically_increasing_id()), "row_id", "rows")
+    scratch.release()
+    return rows
+
+
+def _found(rows: DataFrame, scratch: Scratch, text_col: str, threshold: float, words: int) -> DataFrame:
+    """(row_id, root, n_links, n_text_links) of the rows that are linked to others; ``rows`` lie in buckets by row_id."""
+    texts = rows.select("row_id", F.col(text_col).alias("text"))
+    signed = scratch.keep(texts.mapInArrow(partial(_sign, words=words), "row_id long, size long, set1 long, set2 long, sig binary"), "signed")
+    sets = scratch.keep(signed.groupBy("set1", "set2", "size").agg(F.min("row_id").alias("id"), F.count("*").alias("n")), "sets")
+    firsts = signed.filter("size > 0").select(F.col("row_id").alias("id"), "sig").join(sets.select("id"), "id", "left_semi")
+    bands = scratch.keep(firsts.mapInArrow(_band, "id long, bands binary"), "bands")
+    candidates = scratch.keep(groups.grouped(groups.star_edges(bands, scratch), scratch).join(sets, "id").select("id", "root", "size", F.col("n").alias("copies")), "candidates")
+    scratch.release()
+    content = candidates.select("id", "copies").join(signed.select(F.col("row_id").alias("id"), "sig"), "id")
+    content = texts.withColumnRenamed("row_id", "id").join(content, "id")
     decide = partial(_decide, threshold=threshold, words=words, need=fewest(threshold))
-    found = scratch.keep(groups.linked(members, decide, ["_sig", "_text"], groups.partitions(spark)), "linked")
+    found = scratch.keep(groups.linked(candidates, content, bands, decide, ["sig", "text"], scratch), "linked")
+    scratch.release()
     links = found.groupBy("id").agg(F.sum("links").alias("links"), F.sum("weight").alias("weight"))
     roots = groups.grouped(found.filter("low < id").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct(), scratch)
-    by_set = sets.join(links, "id", "left").join(roots, "id", "left").select("_set1", "_set2", "_size", F.coalesce("root", "id").alias("_group"), (F.coalesce("weight", F.lit(0)) + F.col("copies") - 1).alias("_n"), F.coalesce("links", F.lit(0)).alias("_t"))
-    by_set = scratch.keep(by_set.filter("_n > 0"), "by_set")
-    # rows of sets without links take no part in the join
-    out = signed.join(by_set, ["_set1", "_set2", "_size"], "left")
-    group, n, t = F.coalesce("_group", "row_id"), F.coalesce("_n", F.lit(0)), F.coalesce("_t", F.lit(0))
-    return out.withColumn("group_id", group).withColumn("n_links", n).withColumn("n_text_links", t).drop("_set1", "_set2", "_size", "_sig", "_group", "_n", "_t")
+    counts = F.coalesce("weight", F.lit(0)) + F.col("n") - 1
+    by_set = sets.join(links, "id", "left").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")).withColumn("n_links", counts)
+    by_set = scratch.keep(by_set.filter("n_links > 0").select("set1", "set2", "size", "root", "n_links", F.coalesce("links", F.lit(0)).alias("n_text_links"), "n"), "by_set")
+    of_rows = signed.select("row_id", "set1", "set2", "size")
+    return scratch.keep(split_join(of_rows, by_set, ["set1", "set2", "size"], hot_over(signed.count())).select("row_id", "root", "n_links", "n_text_links"), "found")
 
 
 def representatives(docs: DataFrame, scratch: Scratch, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` without those that ``join`` links, directly or over others, to a row before them."""
-    found = join(docs, scratch, text_col, threshold)
-    return found.filter("row_id = group_id").drop("row_id", "group_id", "n_links", "n_text_links")
+    rows = _rows(docs, scratch)
+    gone = _found(rows, scratch, text_col, threshold, WORDS).filter("root < row_id").select("row_id")
+    return rows.join(gone, "row_id", "left_anti").drop("row_id")

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sievework.shipping import ship
 
@@ -24,10 +25,15 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where it is unset, as in tests, a new one of this machine."""
+    """The folder that the cluster names in spark.checkpoint.dir; where it is unset and all tasks run in this process, as in tests, a new one.
+
+    On a cluster without that setting this raises: a folder of one machine would be another one on each executor.
+    """
     if base := spark.conf.get("spark.checkpoint.dir", None):
         return base
     app = spark.sparkContext.applicationId
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="sievework-")
     return _own[app]
@@ -39,6 +45,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         ship(spark)
         self.spark, self.root, self.count = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        self.tables: dict[str, str] = {}
 
     def path(self, name: str = "t") -> str:
         self.count += 1
@@ -46,11 +53,22 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
         path = self.path(name)
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         kept = self.spark.read.schema(df.schema).parquet(path)
         kept._scratch_path = path
         return kept
 
+    def keep_by(self, df: DataFrame, key: str, name: str = "t") -> DataFrame:
+        """Keep ``df`` in buckets of ``key``: later joins on it move the other side alone."""
+        path, n = self.path(name), partitions(self.spark)
+        table = f"sievework_{name}_{uuid.uuid4().hex}"
+        writer = df.repartition(n, key).write.option("compression", "zstd").option("path", path)
+        writer.bucketBy(n, key).saveAsTable(table)
+        self.tables[path] = table
+        kept = self.spark.table(table)
+        kept._scratch_path = path
+        return kept
+
     def drop(self, *frames: DataFrame) -> None:
         """Delete tables that nothing will read again."""
         for df in frames:
@@ -66,11 +84,33 @@ class Scratch:
         self.spark._jvm.System.gc()
 
     def remove(self, path: str) -> None:
+        for p in [p for p in self.tables if p.startswith(path)]:
+            self.spark.sql(f"drop table if exists {self.tables.pop(p)}")
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(conf).delete(at, True)
 
 
+def partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def split_join(many: DataFrame, one: DataFrame, on: list[str], hot: int) -> DataFrame:
+    """``many`` joined to ``one``, which has a row a key and, in ``n``, how many rows of ``many`` have that key.
+
+    The rows of keys with more than ``hot`` rows stay where they are and meet a broadcast of those keys; there are fewer
+    of these than the rows of ``many`` divided by ``hot``. The others are shuffled. Both frames are read twice: kept tables.
+    """
+    often = one.filter(F.col("n") > hot).drop("n")
+    rest = one.filter(F.col("n") <= hot).drop("n")
+    return many.join(F.broadcast(often), on).unionByName(many.join(F.broadcast(often.select(*on)), on, "left_anti").join(rest, on))
+
+
+def hot_over(rows: int) -> int:
+    """From so many rows on a key is worked on apart: at most 2,000 keys can have more."""
+    return max(100, rows // 2000)
+
+
 def chunks(texts: list[str], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of texts with about ``limit`` characters each; a longer text is a range of its own."""
     start = size = 0
