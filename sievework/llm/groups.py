@@ -26,13 +26,25 @@ TABLE_BITS = 26
 
 def bands(signatures: np.ndarray, count: int, rows: int) -> np.ndarray:
     """A 64-bit key for each band of each signature."""
-    out = np.zeros((len(signatures), count), np.uint64)
-    for b in range(count):
-        h = np.full(len(signatures), b + 1, np.uint64)
-        for k in range(rows):
-            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + signatures[:, b * rows + k].astype(np.uint64), k)
-        out[:, b] = h
-    return out
+    parts = signatures.reshape(-1, count, rows)
+    out = np.broadcast_to(np.arange(1, count + 1, dtype=np.uint64), parts.shape[:2]).copy()
+    for k in range(rows):
+        out ^= parts[:, :, k]
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return mix(out)
+
+
+def packed(rows: np.ndarray) -> pa.Array:
+    """The rows of a matrix as binary values."""
+    width = rows.shape[1] * rows.itemsize
+    offsets = pa.py_buffer(np.arange(len(rows) + 1, dtype=np.int32) * np.int32(width))
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, offsets, pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def unpacked(column: pa.Array, kind, width: int) -> np.ndarray:
+    """The matrix that ``packed`` made binary values of."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
 
 
 def bit_table(keys: DataFrame) -> np.ndarray:

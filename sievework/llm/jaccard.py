@@ -116,19 +116,19 @@ def _sign(batches, words):
         for k in range(2):
             if len(some):
                 keys[k, some] = np.add.reduceat(mix(values, 31 + k), starts[some]).astype(np.int64)
-        cols = [b.column("row_id"), pa.array(lengths.astype(np.int64)), *map(pa.array, keys), pa.array([r.tobytes() for r in sig], pa.binary())]
+        cols = [b.column("row_id"), pa.array(lengths.astype(np.int64)), *map(pa.array, keys), groups.packed(sig)]
         yield pa.RecordBatch.from_arrays(cols, names=["row_id", "size", "set1", "set2", "sig"])
 
 
 def _band(batches):
     for b in batches:
-        sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint32).reshape(-1, HASHES)
+        sig = groups.unpacked(b.column("sig"), np.uint32, HASHES)
         keys = groups.bands(sig, BANDS, ROWS)
-        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([r.tobytes() for r in keys], pa.binary())], names=["id", "bands"])
+        yield pa.RecordBatch.from_arrays([b.column("id"), groups.packed(keys)], names=["id", "bands"])
 
 
 def _decide(rows, left, right, threshold, words, need):
-    sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint32).reshape(-1, HASHES)
+    sig = groups.unpacked(rows["sig"], np.uint32, HASHES)
     x, y = survivors(sig, left, right, need)
     if not len(x):
         return x, y
