@@ -12,6 +12,7 @@ table has a cell for each pair of tokens.
 
 Every prefix of a correct tokenization is correct, so one pass over a word
 finds, for each end, the only last token that the state before it has an arc for.
+The tokens that end at a place come from a search automaton over the vocabulary.
 """
 
 from __future__ import annotations
@@ -19,19 +20,23 @@ from __future__ import annotations
 import hashlib
 import json
 from functools import partial
+from struct import pack
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from sievework.llm.shared import pieces
+from sievework.llm.shared import chunks, pieces
 from sievework.shipping import ship
 
 #: The pre-tokenizer's pattern, a fixed value of the vocabulary's format.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words whose ids a worker keeps, and cells of the transition table; a table that is full starts anew.
-KEPT_WORDS, KEPT_CELLS = 250_000, 500_000
+#: Words in a worker's newer table from which on it becomes the older one, and cells of the transition table, which starts anew when full.
+KEPT_WORDS, KEPT_CELLS = 150_000, 500_000
+#: Between words, a character that no byte stands for; and the state at a word's begin.
+APART, BEGIN = "\u0100", -2
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -44,8 +49,8 @@ def byte_alphabet() -> dict[int, str]:
     return out
 
 
-class Automaton(dict):
-    """Word to ids (little-endian, unsigned, 32 bits); missing words are encoded on first use."""
+class Automaton:
+    """Word to ids (little-endian, unsigned, 32 bits). Words met lately are kept, in two tables of which the older is dropped when the newer is full."""
 
     def __init__(self, raw: str):
         model = json.loads(raw)
@@ -64,14 +69,21 @@ class Automaton(dict):
             if c in vocab:
                 self.born[vocab[c]] = -1
                 self.ids[self.emit[vocab[c]]] = vocab[c]
-        self.cells: dict[int, bool] = {}
+        self.cells: dict[int, bool] = {}  # of the transition table, state << 20 | token: whether there is an arc
         for k, (u, v) in enumerate(merges):
             u, v, w = vocab[u], vocab[v], vocab[u + v]
             if u in self.born and v in self.born and w not in self.born and self._arc(u, v, k):
                 self.merge[u, v] = k
                 self.born[w], self.left[w], self.right[w] = k, u, v
                 self.ids[self.emit[w]] = w
-        self.longest = max(map(len, self.ids))
+        tree = ahocorasick.Automaton()
+        for raw, token in self.ids.items():
+            tree.add_word(raw.decode("latin-1"), (token, len(raw)))
+        tree.make_automaton()
+        self.find = tree.iter  # every token at every end, the longest first
+        self.sizes = {token: len(raw) for raw, token in self.ids.items()}
+        self.words: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.split = regex.compile(SPLIT).findall
         self.apart = regex.compile("|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True))) if self.special else None
 
@@ -96,46 +108,90 @@ class Automaton(dict):
             return False  # this state lost the arc in the same gadget
         return self._arc(now, u, got)
 
-    def __missing__(self, word: str) -> bytes:
-        raw = word.encode()
-        n, ids, cells = len(raw), self.ids, self.cells
-        last = [-1] * (n + 1)
-        for end in range(1, n + 1):
-            for start in range(max(0, end - self.longest), end):
-                token = ids.get(raw[start:end])
-                if token is None:
+    def __getitem__(self, word: str) -> bytes:
+        self.learn([word])
+        return self.words[word]
+
+    def learn(self, words) -> None:
+        """Encode those of ``words`` that aren't kept, all in one walk over their bytes.
+
+        For each end in turn, the tokens that end there are tried on the state that the prefix before the token leads to;
+        ``last`` has, for each prefix, its only last token, or BEGIN where a word begins.
+        """
+        kept, before = self.words, self.before
+        fresh = []
+        for word in words:
+            if word not in kept:
+                if (ids := before.get(word)) is None:
+                    fresh.append(word)
+                else:
+                    kept[word] = ids
+        if not fresh:
+            return
+        raws = [w.encode().decode("latin-1") for w in fresh]
+        joined, at, begins = APART.join(raws), 0, []
+        last = [-1] * (len(joined) + 1)
+        for r in raws:
+            begins.append(at)
+            last[at] = BEGIN
+            at += len(r) + 1
+        cells, arc = self.cells, self._arc
+        for end, (token, size) in self.find(joined):
+            end += 1
+            if last[end] >= 0:
+                continue
+            state = last[end - size]
+            if state != BEGIN:
+                cell = state << 20 | token
+                ok = cells.get(cell)
+                if ok is None:
+                    if len(cells) >= KEPT_CELLS:
+                        cells.clear()
+                    ok = cells[cell] = arc(state, token, 1 << 40)
+                if not ok:
                     continue
-                if start:
-                    cell = last[start] << 20 | token
-                    ok = cells.get(cell)
-                    if ok is None:
-                        if len(cells) >= KEPT_CELLS:
-                            cells.clear()
-                        ok = cells[cell] = self._arc(last[start], token, 1 << 40)
-                    if not ok:
-                        continue
-                last[end] = token
-                break
-        out, end = [], n
-        while end:
-            out.append(last[end])
-            end -= len(self.emit[last[end]])
-        found = np.array(out[::-1], "<u4").tobytes()
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        self[word] = found
-        return found
+            last[end] = token
+        sizes = self.sizes
+        for word, raw, begin in zip(fresh, raws, begins, strict=True):
+            out, end = [], begin + len(raw)
+            while end > begin:
+                token = last[end]
+                out.append(token)
+                end -= sizes[token]
+            kept[word] = pack(f"<{len(out)}I", *out[::-1])
+
+    def _settle(self) -> None:
+        """Words not asked for since the table was last full go."""
+        if len(self.words) >= KEPT_WORDS:
+            self.before, self.words = self.words, {}
 
     def encode(self, text: str) -> bytes:
         """Ids of a text, four bytes each; strings of added tokens become those tokens."""
-        if self.apart is None or not any(t in text for t in self.special):
-            return b"".join(map(self.__getitem__, self.split(text)))
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; a word that several texts of a range hold is looked at once."""
+        return [ids for i, j in chunks(texts) for ids in self._encode_some(texts[i:j])]
+
+    def _encode_some(self, texts: list[str]) -> list[bytes]:
+        parts = [self._parts(t) for t in texts]
+        self._settle()
+        self.learn({w for words in parts for w in words if w.__class__ is str})
+        ids = self.words
+        return [b"".join([w if w.__class__ is bytes else ids[w] for w in words]) for words in parts]
+
+    def _special_in(self, text: str) -> bool:
+        return any(t in text for t in self.special)
+
+    def _parts(self, text: str) -> list:
+        """The words of a text, in order; for an added token its id, as bytes."""
+        if not self._special_in(text):
+            return self.split(text)
         out, at = [], 0
         for m in self.apart.finditer(text):
-            out += map(self.__getitem__, self.split(text[at : m.start()]))
-            out.append(np.array([self.special[m[0]]], "<u4").tobytes())
+            out += [*self.split(text[at : m.start()]), pack("<I", self.special[m[0]])]
             at = m.end()
-        return b"".join([*out, *map(self.__getitem__, self.split(text[at:]))])
+        return out + self.split(text[at:])
 
     def decode(self, ids: bytes) -> str:
         """The labels of the arcs, one after the other."""
@@ -162,7 +218,7 @@ def _read(tokenizer: str) -> str:
 def _encode(batches, raw, text_col, decoded):
     a = automaton(raw.value)
     for b in pieces(batches):
-        ids = [a.encode(t or "") for t in b.column(text_col).to_pylist()]
+        ids = a.encode_all([t or "" for t in b.column(text_col).to_pylist()])
         out = b.append_column("token_ids", pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in ids], pa.list_(pa.int32())))
         yield out.append_column("decoded", pa.array([a.decode(x) for x in ids], pa.string())) if decoded else out
 
@@ -190,10 +246,8 @@ def encode(docs: DataFrame, tokenizer: str, text_col: str = "text", decoded: boo
 def _digest(batches, raw):
     a, sha = automaton(raw.value), lambda x: hashlib.sha256(x).hexdigest()
     for b in pieces(batches):
-        texts = b.column("text").to_pylist()
         n, digests, back = [], [], []
-        for t in texts:
-            ids = a.encode(t or "")
+        for ids in a.encode_all([t or "" for t in b.column("text").to_pylist()]):
             n.append(len(ids) // 4)
             digests.append(sha(ids))
             back.append(sha(a.decode(ids).encode()))
@@ -203,7 +257,8 @@ def _digest(batches, raw):
 def token_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, n_tokens and the digests of the ids and of the decoded text, a row a document.
 
-    Null and empty texts have no tokens; repeated rows give repeated results; other columns are ignored.
+    Null and empty texts have no tokens; repeated rows give repeated results; other columns are ignored. A very long text
+    takes time in proportion; its words are Python objects at a time. An empty table gives an empty result.
     """
     ship(docs.sparkSession)
     raw = docs.sparkSession.sparkContext.broadcast(_read(tokenizer))
