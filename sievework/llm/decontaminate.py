@@ -1,9 +1,12 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
 
-The first pass over the texts counts how often each n-gram of the test items occurs; an item's seeds are its rarer half,
-so an item that is copied into many texts keeps as many seeds as any other. The second pass cuts out the passages around
-seeds. Both passes know the n-grams by a bit table of fixed size, whatever the size of the benchmark; joins with
-the seeds then settle which items a passage has to be aligned with.
+The first pass over the texts counts how often each n-gram of the test items occurs; an item's seeds are its rarer half
+and the rarest of each few neighbours, so that a copied run of that many has a seed however often it is copied. The second
+pass cuts out the passages around seeds. Both passes know the n-grams by a bit table of fixed size, whatever the size of
+the benchmark; joins with the seeds then settle which items a passage has to be aligned with, and how far.
+
+An alignment of at least half the score of an item of n words has at most n words of a text that match and as many that
+don't: it lies within 2 n words of any seed in it (REACH).
 """
 
 from __future__ import annotations
@@ -16,15 +19,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.shared import Scratch, chunks, mix, pieces
+from sievework.llm import groups
+from sievework.llm.shared import Scratch, chunks, hot_over, mix, pieces, split_join
 
 SEED_WORDS = 3
-#: A passage reaches so many words beyond its seeds, and seeds so near each other share a passage.
-MARGIN = 48
+#: Of so many neighbouring n-grams of an item the rarest is a seed.
+NEIGHBOURS = 8
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Contaminated from this share of the score of the whole item on.
 THRESHOLD = 0.5
-TABLE_BITS = 26
+#: An alignment lies within so many times the item's words of a seed in it.
+REACH = 2
 #: Cells of one step of aligned pairs.
 CELLS = 2_000_000
 
@@ -78,22 +83,32 @@ def _seeds(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), n, np.int32)), pa.array([item] * len(h), pa.int64())], names=["gram", "n", "item_id"])
 
 
-def bit_table(seeds: DataFrame) -> tuple[bytes, list[int]]:
-    """Bits at the hashes of the seeds, and the lengths of their n-grams. The table's size is fixed; only its set bytes travel."""
-    byte, bit = F.shiftrightunsigned("gram", 64 - TABLE_BITS + 3), F.shiftrightunsigned("gram", 64 - TABLE_BITS).bitwiseAND(F.lit(7))
-    at = seeds.select(byte.alias("byte"), bit.cast("int").alias("bit")).groupBy("byte").agg(F.bit_or(F.expr("shiftleft(1, bit)")).alias("bits")).toArrow()
-    out = np.zeros(1 << TABLE_BITS - 3, np.uint8)
-    out[at.column("byte").to_numpy()] = at.column("bits").to_numpy()
-    return out.tobytes(), sorted(r[0] for r in seeds.select("n").distinct().collect())
+def _choose(batches):
+    """The seeds of each item, with how often the texts have them."""
+    for b in batches:
+        for item, ws, counted in zip(*(b.column(c).to_pylist() for c in ("item_id", "words", "counted")), strict=True):
+            n, count = min(SEED_WORDS, len(ws)), {c["gram"]: c["count"] for c in counted}
+            h, _ = grams(np.array(ws, np.int64).astype(np.uint64), np.array([len(ws)]), n)
+            order = h.astype(np.int64)
+            often = np.array([count[g] for g in order.tolist()], np.int64)
+            seeds = {g for g, c in zip(order.tolist(), often.tolist(), strict=True) if c <= max(3, np.median(often))}
+            for at in range(max(1, len(order) - NEIGHBOURS + 1)):
+                seeds.add(int(order[at + int(often[at : at + NEIGHBOURS].argmin())]))
+            found = sorted(seeds)
+            cols = [pa.array(found, pa.int64()), pa.array([n] * len(found), pa.int32()), pa.array([item] * len(found), pa.int64()), pa.array([count[g] for g in found], pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names=["gram", "n", "item_id", "count"])
+
+
+def table_of(seeds: DataFrame) -> tuple[np.ndarray, list[int]]:
+    """Bits at the seeds' hashes, and the lengths of their n-grams: three at most."""
+    return groups.bit_table(seeds.select("gram")), sorted(r[0] for r in seeds.select("n").distinct().collect())
 
 
-def _hits(table, lengths_n, flat, lengths):
-    bits = np.frombuffer(table, np.uint8)
+def _hits(bits, lengths_n, flat, lengths):
     all_h, all_at = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
     for n in lengths_n:
         h, at = grams(flat, lengths, n)
-        place = h >> np.uint64(64 - TABLE_BITS)
-        hit = np.flatnonzero(bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
+        hit = np.flatnonzero(groups.in_table(bits, h))
         all_h.append(h[hit])
         all_at.append(at[hit])
     h, at = np.concatenate(all_h), np.concatenate(all_at)
@@ -111,10 +126,11 @@ def _tally(batches, table):
             yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(n.astype(np.int64))], names=["gram", "count"])
 
 
-PASSAGE = "row_id long, start long, words array<long>, grams array<long>"
+PASSAGE = "row_id long, start long, words array<long>, grams array<long>, places array<long>"
 
 
-def _passages(batches, table, text_col):
+def _passages(batches, table, text_col, reach):
+    """The stretches of each text within ``reach`` words of a hit; ``places`` has where in the stretch each of ``grams`` begins."""
     bits, ns = table.value
     for b in pieces(batches):
         texts, rows = [t or "" for t in b.column(text_col).to_pylist()], b.column("row_id").to_numpy()
@@ -125,15 +141,16 @@ def _passages(batches, table, text_col):
                 continue
             first = np.cumsum(lengths) - lengths
             owner = np.repeat(np.arange(len(lengths)), lengths)[at]
-            cut = np.flatnonzero((owner[1:] != owner[:-1]) | (at[1:] - at[:-1] > MARGIN)) + 1
+            cut = np.flatnonzero((owner[1:] != owner[:-1]) | (at[1:] - at[:-1] > 2 * reach)) + 1
             out = []
             for a, z in zip([0, *cut.tolist()], [*cut.tolist(), len(at)], strict=True):
                 k = owner[a]
-                lo, hi = max(first[k], at[a] - MARGIN), min(first[k] + lengths[k], at[z - 1] + max(ns) + MARGIN)
-                out.append((rows[i + k], lo - first[k], flat[lo:hi].astype(np.int64), np.unique(h[a:z]).astype(np.int64)))
-            for c in range(0, len(out), 2000):
-                r, s, w, g = zip(*out[c : c + 2000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(s, pa.int64()), pa.array(w, pa.list_(pa.int64())), pa.array(g, pa.list_(pa.int64()))], names=["row_id", "start", "words", "grams"])
+                lo, hi = max(first[k], at[a] - reach), min(first[k] + lengths[k], at[z - 1] + max(ns) + reach)
+                out.append((rows[i + k], lo - first[k], flat[lo:hi].astype(np.int64), h[a:z].astype(np.int64), at[a:z] - lo))
+            for c in range(0, len(out), 500):
+                cols = list(zip(*out[c : c + 500], strict=True))
+                lists = [pa.array(x, pa.list_(pa.int64())) for x in cols[2:]]
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *lists], names=["row_id", "start", "words", "grams", "places"])
 
 
 def smith_waterman(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -160,10 +177,28 @@ def smith_waterman(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple
     return best, end
 
 
+def windows(places: list[int], words: int, length: int) -> list[tuple[int, int]]:
+    """The parts of a passage of ``length`` words that an alignment through one of the seeds at ``places`` can touch."""
+    reach, out = REACH * words, []
+    for p in sorted(places):
+        lo, hi = max(0, p - reach), min(length, p + SEED_WORDS + reach)
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], hi)
+        else:
+            out.append((lo, hi))
+    return out
+
+
 def _align(batches, threshold):
-    for b in batches:
-        items = [np.array(x, np.int64) for x in b.column("item_words").to_pylist()]
-        found = [np.array(x, np.int64) for x in b.column("words").to_pylist()]
+    for b in pieces(batches):
+        items, found, owner, begins = [], [], [], []
+        for k, (item, words, places) in enumerate(zip(*(b.column(c).to_pylist() for c in ("item_words", "words", "places")), strict=True)):
+            item, words = np.array(item, np.int64), np.array(words, np.int64)
+            for lo, hi in windows(places, len(item), len(words)):
+                items.append(item)
+                found.append(words[lo:hi])
+                owner.append(k)
+                begins.append(lo)
         order = np.argsort([len(x) * 4096 + len(y) for x, y in zip(found, items, strict=True)], kind="stable")
         score, end = np.zeros(len(items)), np.zeros(len(items), np.int64)
         i = 0
@@ -177,7 +212,9 @@ def _align(batches, threshold):
             end[part] = e
             i = j
         keep = np.flatnonzero(score >= threshold)
-        yield pa.RecordBatch.from_arrays([b.column("row_id").take(pa.array(keep)), b.column("item_id").take(pa.array(keep)), pa.array(score[keep]), pa.array(b.column("start").to_numpy()[keep] + end[keep])], names=["row_id", "item_id", "score", "end_word"])
+        of = np.array(owner, np.int64)[keep]
+        ends = b.column("start").to_numpy()[of] + np.array(begins, np.int64)[keep] + end[keep]
+        yield pa.RecordBatch.from_arrays([b.column("row_id").take(pa.array(of)), b.column("item_id").take(pa.array(of)), pa.array(score[keep]), pa.array(ends)], names=["row_id", "item_id", "score", "end_word"])
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -190,17 +227,22 @@ def hits(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, text_col: str
     sc = docs.sparkSession.sparkContext
     items = scratch.keep(benchmark.selectExpr("cast(item_id as long) item_id", "text").mapInArrow(_items, "item_id long, words array<long>").filter("size(words) > 0"), "items")
     all_grams = scratch.keep(items.mapInArrow(_seeds, "gram long, n int, item_id long"), "grams")
-    table = sc.broadcast(bit_table(all_grams))
+    table = sc.broadcast(table_of(all_grams))
     counts = docs.select(text_col).mapInArrow(partial(_tally, table=table), "gram long, count long").groupBy("gram").agg(F.sum("count").alias("count"))
-    counted = scratch.keep(all_grams.join(counts, "gram", "left").withColumn("count", F.coalesce("count", F.lit(0))), "counted")
-    middle = counted.groupBy("item_id").agg(F.percentile_approx("count", 0.5).alias("middle"))
-    seeds = scratch.keep(counted.join(middle, "item_id").filter("count <= greatest(middle, 3)").select("gram", "n", "item_id"), "seeds")
+    counted = all_grams.join(counts, "gram", "left").groupBy("item_id").agg(F.collect_list(F.struct("gram", F.coalesce("count", F.lit(0)).alias("count"))).alias("counted"))
+    seeds = scratch.keep(items.join(counted, "item_id").mapInArrow(_choose, "gram long, n int, item_id long, count long").distinct(), "seeds")
     table.destroy()
-    rare = sc.broadcast(bit_table(seeds))
-    found = scratch.keep(docs.select("row_id", text_col).mapInArrow(partial(_passages, table=rare, text_col=text_col), PASSAGE), "passages")
-    wanted = found.select("row_id", "start", F.explode("grams").alias("gram")).join(seeds.select("gram", "item_id"), "gram").select("row_id", "start", "item_id").distinct()
-    pairs = wanted.join(found.select("row_id", "start", "words"), ["row_id", "start"]).join(items.withColumnRenamed("words", "item_words"), "item_id")
-    aligned = pairs.select("row_id", "item_id", "start", "words", "item_words").mapInArrow(partial(_align, threshold=threshold), "row_id long, item_id long, score double, end_word long")
+    rare, longest = sc.broadcast(table_of(seeds)), items.agg(F.max(F.size("words"))).first()[0] or 0
+    found = scratch.keep(docs.select("row_id", text_col).mapInArrow(partial(_passages, table=rare, text_col=text_col, reach=REACH * longest), PASSAGE), "passages")
+    met = scratch.keep(found.select("row_id", "start", F.explode(F.arrays_zip("grams", "places")).alias("h")).select("row_id", "start", F.col("h.grams").alias("gram"), F.col("h.places").alias("place")), "met")
+    # the few grams that very many texts have are joined apart, unless many items have them too
+    shared = seeds.groupBy("gram").agg(F.count("*").alias("items"))
+    often = seeds.join(shared, "gram").select("gram", "item_id", F.when(F.col("items") <= 8, F.col("count")).otherwise(0).alias("n"))
+    pairs = split_join(met, often, ["gram"], hot_over(met.count())).groupBy("row_id", "start", "item_id").agg(F.collect_set("place").alias("places"))
+    pairs = scratch.keep(pairs.join(found.select("row_id", "start", "words"), ["row_id", "start"]), "pairs")
+    items = items.withColumnRenamed("words", "item_words").join(pairs.groupBy("item_id").agg(F.count("*").alias("n")), "item_id")
+    pairs = split_join(pairs, items, ["item_id"], hot_over(pairs.count()))
+    aligned = pairs.select("row_id", "item_id", "start", "words", "places", "item_words").mapInArrow(partial(_align, threshold=threshold), "row_id long, item_id long, score double, end_word long")
     best = aligned.groupBy("row_id", "item_id").agg(F.max(F.struct("score", "end_word")).alias("b"))
     return best.select("row_id", "item_id", "b.score", "b.end_word")
 

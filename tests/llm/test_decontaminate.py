@@ -63,3 +63,26 @@ def test_empty(spark, planted):
     d, b, _ = planted
     assert dec.find(d.limit(0), b, Scratch(spark, "test-dec")).count() == 0
     assert dec.find(d, b.limit(0), Scratch(spark, "test-dec")).count() == 0
+
+
+def test_long_items(spark):
+    """Items of 50 to 400 words, whole, cut, edited and much quoted, against alignment of every text with every item."""
+    r = random.Random(8)
+    words = ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(900)]
+    text = lambda n: [r.choice(words) for _ in range(n)]
+    items = {0: text(200), 1: text(400), 2: text(50), 3: text(120)}
+    docs = [items[0][:100] + text(30) for _ in range(10)] + [text(40) + items[0][:130] + text(40), text(5) + items[0]]
+    docs += [items[1][:150] + text(12) + items[1][150:260] + text(70), items[1][100:320], items[2][5:40] + text(10), items[3][:50]]
+    docs += [[w for k, w in enumerate(items[3]) if k % 7], [w if k % 9 else r.choice(words) for k, w in enumerate(items[1])], text(500) + items[1] + text(1500)]
+    docs += [text(r.randint(0, 400)) for _ in range(10)]
+    d = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(docs)], "doc_id long, text string")
+    b = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    ids = {w: k for k, w in enumerate(words)}
+    want = {}
+    for k, w in enumerate(docs):
+        for item, x in items.items():
+            score, _ = dec.smith_waterman([np.array([ids[v] for v in x])], [np.array([ids[v] for v in w])])
+            if (share := int(score[0]) / (2 * len(x))) >= dec.THRESHOLD:
+                want[k, item] = share
+    got = {(x.doc_id, x.item_id): x.score for x in dec.find(d, b, Scratch(spark, "test-dec")).collect()}
+    assert got == want and len(want) >= 16
