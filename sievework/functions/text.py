@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MARKER = "\n[truncated]"
+#: What marks a text, or a script, that was cut or taken away.
+MARKER, REMOVED = "\n[TRUNCATED]\n", "[Removed due to token limits]\n"
+SCRIPT_MARKER, SCRIPT_REMOVED = "\n% [TRUNCATED: script shortened to fit model context]\n", "% [Model script removed due to token limits]\n"
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
@@ -36,9 +38,15 @@ def after_bracket(c) -> Column:
 
 
 def pairs(c) -> Column:
-    """Every 'name: [list]' of a text, as structs of name and list."""
-    pattern = F.lit(r"([A-Za-z0-9_./-]+)\s*:\s*\[([^\]]*)\]")
-    return F.arrays_zip(F.regexp_extract_all(c, pattern, F.lit(1)).alias("name"), F.regexp_extract_all(c, pattern, F.lit(2)).alias("list"))
+    """Every 'name: [list]' of a text, as structs of name and list; a name is what stands before the colon in its line."""
+    pattern = F.lit(r"([^:\n]+)\s*:\s*\[([^\]]+)\]")
+    found = F.transform(F.regexp_extract_all(c, pattern, F.lit(1)), strip)
+    return F.arrays_zip(found.alias("name"), F.regexp_extract_all(c, pattern, F.lit(2)).alias("list"))
+
+
+def brackets(c) -> Column:
+    """The insides of all [...] of a text, in order."""
+    return F.regexp_extract_all(c, F.lit(r"\[([^\]]+)\]"), F.lit(1))
 
 
 def seconds(c) -> Column:
@@ -60,10 +68,10 @@ def error_policy(c) -> Column:
         return out
 
     return (
-        F.when(any_of(has("rate limit", "tpm", "429", "token")), "rate")
+        F.when(any_of(has("rate_limit", "tpm", "429", "token")), "rate")
         .when(low.contains("resource_exhausted"), "exhausted")
         .when(any_of(has("503", "unavailable", "overloaded")), "unavailable")
-        .when(any_of(has("413", "too large")), "too_large")
+        .when(any_of(has("413", "context_length", "too large")), "too_large")
         .otherwise("other")
     )
 
@@ -84,12 +92,13 @@ def tokens(c) -> Column:
     return F.when(n == 0, 0).otherwise(F.greatest(F.lit(1), F.floor(n / 4))).cast("long")
 
 
-def truncated(c, budget: int) -> Column:
-    """A text cut to a budget of estimated tokens, marked where it was cut."""
+def truncated(c, budget: int, script: bool = False) -> Column:
+    """A text cut to a budget of estimated tokens, marked where it was cut; nothing but a mark without a budget. Scripts have marks of their own."""
+    marker, removed = (SCRIPT_MARKER, SCRIPT_REMOVED) if script else (MARKER, REMOVED)
     if budget <= 0:
-        return F.lit(MARKER.strip())
+        return F.lit(removed)
     keep = max(20, 4 * budget)
-    return F.when(tokens(c) <= budget, c).otherwise(F.concat(F.regexp_replace(F.substring(c, 1, keep), r"\s+$", ""), F.lit(MARKER)))
+    return F.when(tokens(c) <= budget, c).otherwise(F.concat(F.regexp_replace(F.substring(c, 1, keep), r"\s+$", ""), F.lit(marker)))
 
 
 def decimals(c, places: int) -> Column:
@@ -98,9 +107,14 @@ def decimals(c, places: int) -> Column:
     return F.regexp_replace(c, rf"^(\s*[+-]?\d+{keep}){'' if places else chr(92) + '.'}\d+(\s*)$", "$1$2")
 
 
-def key_of_path(c) -> Column:
-    """problem/file of a path, without the extension."""
-    return F.regexp_extract(c, r"([^/]+/[^/]+?)(?:\.[^./]*)?$", 1)
+def key_of_path(c, roots: tuple[str, ...] = ()) -> Column:
+    """The key of a file: its path below the first of ``roots`` that it lies under, else its folder and name; null for a bare name. Either slash separates."""
+    c = F.replace(c, F.lit("\\"), F.lit("/"))
+    out = F.nullif(F.regexp_extract(c, r"([^/]*/[^/]*)$", 1), F.lit(""))
+    for root in reversed(roots):
+        root = root.rstrip("/") + "/"
+        out = F.when(c.startswith(root) & (F.char_length(c) > len(root)), F.substring(c, F.lit(len(root) + 1), F.char_length(c))).otherwise(out)
+    return out
 
 
 def temperature(c) -> Column:
@@ -114,12 +128,12 @@ def percent(part, whole) -> Column:
 
 
 def letters(n) -> Column:
-    """0, 25, 26 as a, z, aa."""
-    n = F.col(n) if isinstance(n, str) else n
-    letter = lambda x: F.char((x % 26 + 97).cast("int"))
-    two = F.concat(letter(F.floor(n / 26) - 1), letter(n))
-    three = F.concat(letter(F.floor((F.floor(n / 26) - 1) / 26) - 1), letter(F.floor(n / 26) - 1), letter(n))
-    return F.when(n < 26, letter(n)).when(n < 702, two).otherwise(three)
+    """0, 25, 26, 702 as a, z, aa, aaa, and so on: every number has a name of its own."""
+    n = (F.col(n) if isinstance(n, str) else n).cast("long")
+    start = F.struct(n.alias("left"), F.lit("").alias("name"))
+    # 14 letters are enough for any 64-bit number
+    step = lambda s, _: F.when(s.left < 0, s).otherwise(F.struct(((s.left - s.left % 26) / 26 - 1).cast("long").alias("left"), F.concat(F.char((s.left % 26 + 97).cast("int")), s["name"]).alias("name")))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(14)), start, step).getField("name")
 
 
 def evaluation(answer, truth) -> dict[str, Column]:

@@ -67,13 +67,19 @@ def filled(rows: DataFrame, key: str, order: str, columns: list[str]) -> DataFra
 
 
 def resolved(asked: DataFrame, known: DataFrame) -> DataFrame:
-    """Names resolved in tiers: equal, equal but for case, the only one that contains it or that it contains; else null.
+    """Names resolved in tiers: equal, equal but for case and outer white space (the first of several), the only known name that contains it; else null.
 
-    ``known`` (known) is a catalogue of a bounded number of names.
+    ``known`` (known) is a catalogue; its size decides how the names are brought together.
     """
-    a = asked.select("name").distinct()
-    fit = a.join(F.broadcast(known.select("known").distinct()), F.lower("known").contains(F.lower("name")) | F.lower("name").contains(F.lower("known")))
-    tier = F.when(F.col("known") == F.col("name"), 1).when(F.lower("known") == F.lower("name"), 2).otherwise(3)
+    a, low = asked.select("name").distinct(), F.lower(strip(F.col("name")))
+    fit = a.join(known.select("known").distinct(), F.lower("known").contains(low) | (F.col("known") == F.col("name")))
+    tier = F.when(F.col("known") == F.col("name"), 1).when(F.lower("known") == low, 2).otherwise(3)
     fit = fit.withColumn("tier", tier).groupBy("name", "tier").agg(F.min("known").alias("known"), F.count("*").alias("n"))
     fit = fit.filter("tier < 3 or n = 1").groupBy("name").agg(F.min_by("known", "tier").alias("known"))
     return a.join(fit, "name", "left")
+
+
+def recoded(df: DataFrame, column: str, labels: DataFrame) -> DataFrame:
+    """``column`` with its values replaced by their labels (value, label; a row a value); values without a label stay."""
+    found = labels.select(F.col("value").alias(column), "label")
+    return df.join(found, column, "left").withColumn(column, F.coalesce("label", column)).drop("label").select(*df.columns)

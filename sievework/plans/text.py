@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sievework.functions import text as tx
 from sievework.operators import prompts, taxonomy
 from sievework.operators.adapters import table
+from sievework.sources import documents
 
 QUERIES, ORACLES = {}, {}
 
@@ -31,18 +32,22 @@ def prompt_tasks(spark, d):
     return t.groupBy("model", "event_type").agg(F.count("*").alias("tasks"), F.sum(tx.tokens(F.col("props"))).alias("tokens"))
 
 
-@query_of("""with models as (select distinct p_type || ' ' || p_brand as model from part), w as (select n_name as id, n_nationkey as place, n_nationkey * 1000 as size from nation union all select 'STANDARD', 50, 9000 union all select p_type, 60 + p_size, 500 * p_size from (select p_type, min(p_size) as p_size from part group by 1)),
-e as (select model, size as exact from models left join (select * from w where size > 0) x on id = model), p as (select model, arg_min(size, place) as part from models join (select * from w where size > 0) x on contains(model, id) group by 1)
-select model, (coalesce(exact, part, 250000) - 256)::bigint as context from e left join p using (model)""")
+@query_of("""with models as (select distinct p_type || ' ' || p_brand as model, substr(p_type, 1, 4) || case when p_brand = 'Brand#11' then 'x' else '' end as label from part),
+w as (select n_name as id, n_nationkey as place, n_nationkey * 1000 as size from nation union all select p_type, 60 + p_size, 50 * p_size from (select p_type, min(p_size) as p_size from part group by 1) union all select distinct p_type || ' Brand#12', 200, 7000 from part),
+k as (select * from w where size > 0), p as (select label, arg_min(size, (place, id)) as part from (select distinct label from models) join k on contains(lower(id), lower(label)) group by 1)
+select model, greatest(0, coalesce(k.size, part, 250000) - 256)::bigint as context from models left join k on id = model left join p on p.label = models.label""")
 def prompt_budget(spark, d):
     part = table(spark, d, "part")
-    models = part.select(F.concat_ws(" ", "p_type", "p_brand").alias("model")).distinct()
-    w = table(spark, d, "nation").select(F.col("n_name").alias("id"), F.col("n_nationkey").alias("place"), (F.col("n_nationkey") * 1000).alias("size"))
-    w = w.union(spark.createDataFrame([("STANDARD", 50, 9000)], "id string, place int, size int")).union(part.groupBy("p_type").agg(F.min("p_size").alias("s")).select("p_type", F.col("s") + 60, F.col("s") * 500))
+    models = part.select(F.concat_ws(" ", "p_type", "p_brand").alias("model"), F.concat(F.substring("p_type", 1, 4), F.when(F.col("p_brand") == "Brand#11", "x").otherwise("")).alias("label")).distinct()
+    w = table(spark, d, "nation").select(F.col("n_name").alias("id"), F.struct(F.col("n_nationkey").alias("place"), F.col("n_name").alias("id")).alias("place"), (F.col("n_nationkey") * 1000).alias("size"))
+    sizes = part.groupBy("p_type").agg(F.min("p_size").alias("s"))
+    w = w.union(sizes.select("p_type", F.struct(F.col("s") + 60, "p_type"), F.col("s") * 50))
+    name = F.concat("p_type", F.lit(" Brand#12"))
+    w = w.union(sizes.select(name, F.struct(F.lit(200), name), F.lit(7000)))
     return prompts.with_window(models, w).select("model", F.col("window").alias("context"))
 
 
-@query_of("select doc_id, case when " + TOKENS.format(c="text") + " <= 40 then text else regexp_replace(text[1:160], '\\s+$', '') || chr(10) || '[truncated]' end as text, (" + TOKENS.format(c="text") + ")::bigint as tokens from documents")
+@query_of("select doc_id, case when " + TOKENS.format(c="text") + " <= 40 then text else regexp_replace(text[1:160], '\\s+$', '') || chr(10) || '[TRUNCATED]' || chr(10) end as text, (" + TOKENS.format(c="text") + ")::bigint as tokens from documents")
 def truncated_text(spark, d):
     return table(spark, d, "documents").select("doc_id", tx.truncated(F.col("text"), 40).alias("text"), tx.tokens(F.col("text")).alias("tokens"))
 
@@ -54,11 +59,11 @@ def prompt_text(spark, d):
     return o.select("o_orderkey", F.md5(text).alias("prompt"))
 
 
-RESPONSE_SQL = "select user_id, event_type || ': [' || string_agg('e' || event_id, ', ' order by event_id) || ']' as line from events where event_id % 50 < 2 group by user_id, event_type"
+RESPONSE_SQL = "select user_id, event_type || ': [' || string_agg('e' || event_id, ', ' order by event_id) || ']' as line from events group by user_id, event_type"
 
 
 def _responses(spark, d):
-    e = table(spark, d, "events").filter("event_id % 50 < 2")
+    e = table(spark, d, "events")
     lines = e.groupBy("user_id", "event_type").agg(F.array_join(F.transform(F.sort_array(F.collect_list("event_id")), lambda x: F.concat(F.lit("e"), x)), ", ").alias("l"))
     lines = lines.select("user_id", "event_type", F.concat("event_type", F.lit(": ["), "l", F.lit("]")).alias("line"))
     return lines.groupBy("user_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("event_type", "line"))), lambda x: x.line), "\n").alias("response"))
@@ -76,10 +81,11 @@ def response_first_bracket(spark, d):
     return r.select("user_id", tx.first_bracket(F.col("response")).alias("picks"), F.char_length(tx.after_bracket(F.col("response"))).cast("long").alias("rest"))
 
 
-MESSAGES = "case event_id % 8 when 0 then 'Error 429: slow down' when 1 then 'RESOURCE_EXHAUSTED' when 2 then '503 Service Unavailable' when 3 then 'model overloaded' when 4 then '413 Payload' when 5 then 'Request too large: token limit' when 6 then 'TPM reached' else 'boom' end"
+MESSAGES = "case event_id % 11 when 0 then 'Error 429: slow down' when 1 then 'RESOURCE_EXHAUSTED' when 2 then '503 Service Unavailable' when 3 then 'model overloaded' when 4 then '413 Payload' when 5 then 'Request too large: token limit' when 6 then 'TPM reached' when 7 then 'rate_limit_exceeded' when 8 then 'context_length_exceeded' when 9 then 'Rate limit' else 'boom' end"
+POLICY = "case when contains(m, 'rate_limit') or contains(m, 'tpm') or contains(m, 'token') or contains(m, '429') then 'rate' when contains(m, 'resource_exhausted') then 'exhausted' when contains(m, 'unavailable') or contains(m, 'overloaded') or contains(m, '503') then 'unavailable' when contains(m, '413') or contains(m, 'context_length') or contains(m, 'too large') then 'too_large' else 'other' end"
 
 
-@query_of(f"with m as (select event_id, lower({MESSAGES}) as m from events), p as (select event_id, case when m like '%rate limit%' or m like '%tpm%' or m like '%429%' or m like '%token%' then 'rate' when m like '%resource_exhausted%' then 'exhausted' when m like '%503%' or m like '%unavailable%' or m like '%overloaded%' then 'unavailable' when m like '%413%' or m like '%too large%' then 'too_large' else 'other' end as policy from m) select event_id, policy, (case when policy in ('rate', 'too_large') then 60 when policy in ('exhausted', 'unavailable') then 30 end)::int as wait, least(60, pow(2, event_id % 9))::bigint as backoff from p")
+@query_of(f"with m as (select event_id, lower({MESSAGES}) as m from events), p as (select event_id, {POLICY} as policy from m) select event_id, policy, (case when policy in ('rate', 'too_large') then 60 when policy in ('exhausted', 'unavailable') then 30 end)::int as wait, least(60, pow(2, event_id % 9))::bigint as backoff from p")
 def error_policy(spark, d):
     e = table(spark, d, "events").select("event_id", F.expr(MESSAGES).alias("m")).withColumn("policy", tx.error_policy(F.col("m")))
     return e.select("event_id", "policy", tx.wait("policy").alias("wait"), tx.backoff(F.col("event_id") % 9).alias("backoff"))
@@ -133,10 +139,11 @@ def unify_names(spark, d):
     return taxonomy.unified(names).select("definition", F.array_join("names", ",").alias("names"), "unified")
 
 
-@query_of("with k as (select distinct p_type as known from part), a as (select distinct case when p_partkey % 3 = 0 then p_type when p_partkey % 3 = 1 then lower(p_type) else substr(p_type, 1, 3 + p_size % 6) end as name from part), f as (select name, known, case when known = name then 1 when lower(known) = lower(name) then 2 else 3 end as tier from a join k on contains(lower(known), lower(name)) or contains(lower(name), lower(known))), g as (select name, tier, min(known) as known, count(*) as n from f group by 1, 2), h as (select name, arg_min(known, tier) as known from g where tier < 3 or n = 1 group by 1) select a.name, h.known from a left join h on a.name = h.name")
+@query_of("with k as (select distinct p_type as known from part), a as (select distinct case p_partkey % 4 when 0 then p_type when 1 then ' ' || lower(p_type) when 2 then p_type || '-2' else substr(p_type, 1, 3 + p_size % 6) end as name from part), f as (select name, known, case when known = name then 1 when lower(known) = lower(trim(name)) then 2 else 3 end as tier from a join k on contains(lower(known), lower(trim(name)))), g as (select name, tier, min(known) as known, count(*) as n from f group by 1, 2), h as (select name, arg_min(known, tier) as known from g where tier < 3 or n = 1 group by 1) select a.name, h.known from a left join h on a.name = h.name")
 def resolve_names(spark, d):
     p = table(spark, d, "part")
-    asked = F.when(F.col("p_partkey") % 3 == 0, F.col("p_type")).when(F.col("p_partkey") % 3 == 1, F.lower("p_type")).otherwise(F.substring(F.col("p_type"), F.lit(1), F.lit(3) + F.col("p_size") % 6))
+    k = F.col("p_partkey") % 4
+    asked = F.when(k == 0, F.col("p_type")).when(k == 1, F.concat(F.lit(" "), F.lower("p_type"))).when(k == 2, F.concat("p_type", F.lit("-2"))).otherwise(F.substring(F.col("p_type"), F.lit(1), F.lit(3) + F.col("p_size") % 6))
     return taxonomy.resolved(p.select(asked.alias("name")), p.select(F.col("p_type").alias("known")))
 
 
@@ -170,12 +177,12 @@ def domain_buckets(spark, d):
 def token_degree(spark, d):
     words = table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z][A-Za-z0-9_]*"), F.lit(0))).alias("token"))
     names = table(spark, d, "nation").select(F.lower("n_name").alias("token")).union(spark.createDataFrame([("the",), ("and",), ("la",)], "token string")).distinct()
-    return words.join(F.broadcast(names), "token").groupBy("token").agg(F.count("*").alias("occurrences"), F.count_distinct("doc_id").alias("texts"))
+    return words.join(names, "token").groupBy("token").agg(F.count("*").alias("occurrences"), F.count_distinct("doc_id").alias("texts"))
 
 
-@query_of("select p_partkey, (case when p_size >= 26 then chr((p_size // 26 - 1 + 97)::int) else '' end) || chr((p_size % 26 + 97)::int) as letters from part")
+@query_of("with recursive n as (select p_partkey, p_partkey * 977 as x, '' as s from part union all select p_partkey, x // 26 - 1, chr((x % 26 + 97)::int) || s from n where x >= 0) select p_partkey, s as letters from n where x < 0")
 def index_letters(spark, d):
-    return table(spark, d, "part").select("p_partkey", tx.letters("p_size").alias("letters"))
+    return table(spark, d, "part").select("p_partkey", tx.letters(F.col("p_partkey") * 977).alias("letters"))
 
 
 @query_of("with t as (select p_partkey, case p_partkey % 5 when 0 then cast(p_size as varchar) when 1 then ' ' || cast(p_retailprice as varchar) when 2 then '1d' when 3 then '' else p_name end as x from part) select p_partkey, case when p_partkey % 5 < 2 then cast(x as double) end as number from t")
@@ -185,14 +192,75 @@ def numeric_coercion(spark, d):
     return table(spark, d, "part").select("p_partkey", tx.number(x).alias("number"))
 
 
-@query_of("select page_id, regexp_extract(url, '([^/]+/[^/]+?)(\\.[^./]*)?$', 1) as key from pages")
+@query_of("with u as (select page_id, case when page_id % 3 = 0 then replace(url, '/', chr(92)) else url end as url from pages) select page_id, nullif(regexp_extract(replace(url, chr(92), '/'), '([^/]*/[^/]*)$', 1), '') as key from u")
 def path_key(spark, d):
-    return table(spark, d, "pages").select("page_id", tx.key_of_path(F.col("url")).alias("key"))
+    url = F.when(F.col("page_id") % 3 == 0, F.replace("url", F.lit("/"), F.lit("\\"))).otherwise(F.col("url"))
+    return table(spark, d, "pages").select("page_id", tx.key_of_path(url).alias("key"))
 
 
 @query_of("with c as (select 'T0p' || k as f from generate_series(0, 9) t(k)), m as (select distinct c_mktsegment as model from customer) select model, 'chat_Pdesc_' || f || '.json' as file, cast(replace(f[2:], 'p', '.') as double) as temperature from m cross join c")
 def experiment_grid(spark, d):
     """Every configuration with every temperature, and the temperature read back from the file's name."""
     models = table(spark, d, "customer").select(F.col("c_mktsegment").alias("model")).distinct()
-    grid = models.crossJoin(F.broadcast(spark.range(10).select(F.concat(F.lit("chat_Pdesc_T0p"), "id", F.lit(".json")).alias("file"))))
+    grid = models.crossJoin(spark.range(10).select(F.concat(F.lit("chat_Pdesc_T0p"), "id", F.lit(".json")).alias("file")))
     return grid.withColumn("temperature", tx.temperature(F.col("file")))
+
+
+ASKED = "select c_custkey, 'Instance: i' || c_custkey || chr(10) || c_name as m1, 'j' || c_custkey as m2, case when c_custkey % 3 = 0 then c_name || ': [a, b ,, c]' || chr(10) || 'q: [d]' || chr(10) || 'q: [e]' when c_custkey % 3 = 1 then 'I say [x,y] only' else 'none' end as response from customer"
+
+
+@query_of(f"""with c as ({ASKED}), named as (select c_custkey, unnest([c.response]) as r from c where c_custkey % 3 = 0),
+n as (select c_custkey, substr(r, 1, position(':' in r) - 1) as name, 'a|b||c' as picks, null as error from named union all select c_custkey, 'q', 'e', null from named),
+p as (select c_custkey, 'i' || c_custkey as name, case when c_custkey % 3 = 1 then 'x|y' end as picks, case when c_custkey % 3 = 2 then 'no parsed response' end as error from c where c_custkey % 3 > 0 union all select c_custkey, m2, null, 'no parsed response' from c where c_custkey % 3 > 0)
+select * from n union all select * from p""")
+def response_fallback(spark, d):
+    """Named lists of an answer, else its brackets by place, else an error row."""
+    c = table(spark, d, "customer").selectExpr("c_custkey", "c_name").select("c_custkey", F.array(F.concat(F.lit("Instance: i"), "c_custkey", F.lit("\n"), "c_name"), F.concat(F.lit("j"), "c_custkey")).alias("asked"), F.when(F.col("c_custkey") % 3 == 0, F.concat("c_name", F.lit(": [a, b ,, c]\nq: [d]\nq: [e]"))).when(F.col("c_custkey") % 3 == 1, "I say [x,y] only").otherwise("none").alias("response"))
+    return prompts.parsed(c).select("c_custkey", "name", F.array_join("picks", "|").alias("picks"), "error")
+
+
+@query_of("with s as (select p_brand || '/' || p_size || '.json' as key, case when min(p_partkey) % 4 = 0 then '' else min(p_name) end as summary from part where p_size % 2 = 0 group by p_brand, p_size), t as (select p_partkey, p_brand || '/' || p_size || '.json' as key from part) select p_partkey, nullif(summary, '') as summary, nullif(summary, '') is null as skipped from t left join s using (key)")
+def summary_tasks(spark, d):
+    """Tasks joined to parser summaries by the key of their path; those without one are marked."""
+    part = table(spark, d, "part")
+    key = F.concat("p_brand", F.lit("/"), F.col("p_size").cast("string"), F.lit(".json"))
+    summaries = part.filter("p_size % 2 = 0").groupBy(key.alias("key")).agg(F.when(F.min("p_partkey") % 4 == 0, "").otherwise(F.min("p_name")).alias("summary"))
+    path = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("/data/probs/"), key)).otherwise(F.concat(F.lit("c:\\x\\"), F.replace(key, F.lit("/"), F.lit("\\"))))
+    found = prompts.with_summary(part.select("p_partkey", path.alias("path")), summaries, roots=("/data/probs",))
+    return found.select("p_partkey", "summary", "skipped")
+
+
+@query_of("with m as (select distinct p_type as model from part where p_type <> 'SMALL' and p_type in ('STANDARD', 'SMALL', 'LARGE', 'PROMO')), l as (select p_type as model, arg_min(p_name, p_partkey) as label from part where p_type <> 'LARGE' group by 1) select m.model, coalesce(label, m.model) as label from m left join l on m.model = l.model")
+def model_selection(spark, d):
+    """Models that are asked, with their readable labels or else their ids."""
+    part = table(spark, d, "part")
+    models = prompts.selected(part.select(F.col("p_type").alias("model")).distinct(), ["SMALL"], top=["STANDARD", "SMALL", "LARGE", "PROMO"])
+    labels = part.filter("p_type <> 'LARGE'").select(F.col("p_type").alias("model"), F.col("p_partkey").alias("place"), F.col("p_name").alias("label"))
+    return prompts.labelled(models, labels)
+
+
+@query_of("select event_id, coalesce(case event_type when 'view' then 'seen' when 'click' then 'pressed' end, event_type) as kind from events")
+def value_recode(spark, d):
+    labels = spark.createDataFrame([("view", "seen"), ("click", "pressed")], "value string, label string")
+    return taxonomy.recoded(table(spark, d, "events").select("event_id", F.col("event_type").alias("kind")), "kind", labels)
+
+
+@query_of("with m as (select conv_id, list(text order by turn) as u from conversations where role = 'user' and text is not null group by 1) select conv_id, md5(case when len(u) = 1 then (case when contains(u[1], chr(10)) then null else substr(u[1], 1, length(u[1]) // 2) end) else array_to_string(u[1:len(u) // 2], '|') end) as first, md5(case when len(u) = 1 then (case when contains(u[1], chr(10)) then null else substr(u[1], length(u[1]) // 2 + 1) end) else array_to_string(u[len(u) // 2 + 1:], '|') end) as second from m")
+def chat_halves(spark, d):
+    """The user's half of each half of a conversation; single messages of several lines are left to the unit test."""
+    rows = table(spark, d, "conversations").filter("text is not null")
+    m = rows.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.struct(x.role.alias("role"), x.text.alias("content"))).alias("m"))
+    users = lambda c: F.transform(F.filter(c, lambda x: x.role == "user"), lambda x: x.content)
+    m = m.filter(F.size(users(F.col("m"))) > 0)
+    lines = (F.size(users(F.col("m"))) == 1) & F.get(users(F.col("m")), F.lit(0)).contains("\n")
+    return m.select("conv_id", *(F.when(~lines, F.md5(F.array_join(users(h), "|"))).alias(n) for h, n in zip(prompts.halves(F.col("m")), ("first", "second"), strict=True)))
+
+
+@query_of("with p as (select p_partkey, case p_partkey % 4 when 0 then './' || p_brand || '.mzn' when 1 then '/root/probs/' || p_brand || '.mzn' when 2 then 'x/y/' || p_brand || '.mzn' else './none' || p_partkey || '.mzn' end as script from part), f as (select '/root/probs/' || p_brand || '.mzn' as path, min(p_name) as text from part group by 1) select p_partkey, case when p_partkey % 4 < 3 then f.path end as path, case p_partkey % 4 when 0 then f.text when 3 then '[Error reading ' || script || ': no such file]' else script end as content from p left join f on f.path = '/root/probs/' || regexp_extract(script, '([^/]*)$', 1)")
+def script_files(spark, d):
+    """Scripts found below a root, by absolute path or by bare name, and their contents."""
+    part, k = table(spark, d, "part"), F.col("p_partkey") % 4
+    name = F.concat("p_brand", F.lit(".mzn"))
+    script = F.when(k == 0, F.concat(F.lit("./"), name)).when(k == 1, F.concat(F.lit("/root/probs/"), name)).when(k == 2, F.concat(F.lit("x/y/"), name)).otherwise(F.concat(F.lit("./none"), "p_partkey", F.lit(".mzn")))
+    files = part.groupBy(F.concat(F.lit("/root/probs/"), name).alias("path")).agg(F.min("p_name").alias("text"))
+    return documents.scripts(part.select("p_partkey", script.alias("script")), files, "/root/probs").select("p_partkey", "path", "content")

@@ -72,7 +72,7 @@ def merged(*documents: DataFrame) -> DataFrame:
         part = d.withColumn("_order", F.lit(k))
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     first = out.filter(F.coalesce(strip(F.col("category")), F.lit("")) != "").groupBy("problem").agg(F.min_by("category", "_order").alias("_category"))
-    return out.join(F.broadcast(first), "problem", "left").withColumn("category", F.col("_category")).drop("_category", "_order")
+    return out.join(first, "problem", "left").withColumn("category", F.col("_category")).drop("_category", "_order")
 
 
 def catalogue(files: DataFrame) -> DataFrame:
@@ -103,10 +103,47 @@ def limits(files: DataFrame) -> DataFrame:
 
 
 def categories(files: DataFrame) -> DataFrame:
-    """category, member and description of {"categories": {category: {name: text}}, ...}; each pair once."""
-    m = F.from_json("text", "categories map<string, map<string, string>>").categories
-    rows = files.select(F.explode(m).alias("category", "members"))
-    return rows.select("category", F.explode("members").alias("member", "description")).dropDuplicates(["category", "member"])
+    """category, member, description, pos and source of {"categories": {category: {name: text}}, "multi_category": {name: {categories, description}}, "uncategorized": {name: text}}.
+
+    The three parts come in this order, and each pair of member and category once, at its first place (pos). Uncategorized members
+    have the category Uncategorized. ``memberships`` gathers these by member.
+    """
+    kind = "categories map<string, map<string, string>>, multi_category map<string, struct<categories: array<string>, description: string>>, uncategorized map<string, string>"
+    m = files.select(F.from_json("text", kind).alias("m"))
+    empty = F.lit(None).cast("string")
+    plain = m.select(F.posexplode("m.categories").alias("p", "category", "members")).select("category", F.posexplode("members").alias("q", "member", "description"), F.lit(0).alias("source"), "p")
+    many = m.select(F.posexplode("m.multi_category").alias("p", "member", "v")).select(F.posexplode("v.categories").alias("q", "category"), "member", F.col("v.description").alias("description"), F.lit(1).alias("source"), "p")
+    none = m.select(F.posexplode("m.uncategorized").alias("p", "member", "description")).select(F.lit("Uncategorized").alias("category"), "member", F.coalesce("description", empty).alias("description"), F.lit(2).alias("source"), "p", F.lit(0).alias("q"))
+    every = plain.unionByName(many).unionByName(none).withColumn("pos", F.struct("source", "p", "q"))
+    return every.groupBy("category", "member").agg(F.min_by("description", "pos").alias("description"), F.min("pos").alias("pos"))
+
+
+def memberships(found: DataFrame) -> DataFrame:
+    """member, categories (in order), description (the first that isn't empty) and multi, of ``categories``."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "category"))), lambda x: x.category)
+    first = F.min_by("description", F.when(F.coalesce("description", F.lit("")) != "", F.col("pos")))
+    out = found.groupBy("member").agg(ordered.alias("categories"), first.alias("description"))
+    return out.withColumn("multi", F.size("categories") > 1)
+
+
+def scripts(problems: DataFrame, files: DataFrame, root: str) -> DataFrame:
+    """Add ``path`` and ``content`` of each problem's ``script`` from the table of files (path, text).
+
+    Tried in turn: below the root without a leading './', as an absolute path, below the root as it is, and by its bare name, the first
+    path in order. A script that begins with './' but has no file has an error text; any other script is its own content.
+    """
+    relative = F.col("script").startswith("./")
+    below = F.concat(F.lit(root.rstrip("/") + "/"), F.regexp_replace("script", r"^\./", ""))
+    keyed = problems.withColumn("_id", F.monotonically_increasing_id())
+    tries = keyed.select("_id", F.posexplode(F.array(below, F.when(F.col("script").startswith("/"), F.col("script")), F.concat(F.lit(root.rstrip("/") + "/"), "script"))).alias("_rank", "path"))
+    hit = tries.join(files.select("path"), "path").select("_id", "_rank", "path")
+    base = files.select(F.substring_index("path", "/", -1).alias("_base"), "path").groupBy("_base").agg(F.min("path").alias("path"))
+    walked = keyed.select("_id", F.substring_index("script", "/", -1).alias("_base")).join(base, "_base").select("_id", F.lit(3).alias("_rank"), "path")
+    best = hit.union(walked).groupBy("_id").agg(F.min_by("path", "_rank").alias("path"))
+    out = keyed.drop("path", "content").join(best, "_id", "left").join(files.select("path", F.col("text").alias("_text")), "path", "left")
+    error = F.concat(F.lit("[Error reading "), "script", F.lit(": no such file]"))
+    content = F.when(~relative, F.col("script")).otherwise(F.coalesce("_text", error))
+    return out.select(*[c for c in problems.columns if c not in ("path", "content")], "path", content.alias("content"))
 
 
 def variant_of(file: Column) -> dict[str, Column]:

@@ -47,6 +47,9 @@ def test_catalogues(spark):
     assert [(r.id, r.size) for r in documents.models(make({"data": [{"id": "m", "context_window": 5}, {"id": "n"}]})).collect()] == [("m", 5), ("n", None)]
     assert {r.model: r.rpm for r in documents.limits(make({"groq_models": [{"model_id": "m", "rpm": 3}], "gemini_models": [{"model": "n"}]})).collect()} == {"m": 3, "n": None}
     assert documents.categories(make({"categories": {"c": {"x": "t", "y": "u"}}})).count() == 2
+    whole = {"categories": {"c": {"x": "", "y": "u"}, "b": {"x": "t"}}, "multi_category": {"x": {"categories": ["c", "d"], "description": "m"}}, "uncategorized": {"z": "w"}}
+    got = {r.member: (r.categories, r.description, r.multi) for r in documents.memberships(documents.categories(make(whole))).collect()}
+    assert got == {"x": (["c", "b", "d"], "t", True), "y": (["c"], "u", False), "z": (["Uncategorized"], "w", False)}
     got = spark.createDataFrame([("chat_Pdesc_T0p3.json",)], "f string").select(*(c.alias(n) for n, c in documents.variant_of(F.col("f")).items())).first()
     assert (got.variant, got.temperature) == ("chat_Pdesc", 0.3)
 
