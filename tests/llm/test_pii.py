@@ -75,3 +75,25 @@ def test_rows(spark):
     assert got[1].n_email == 1 and got[1].spans == "email:5:12" and got[1].base_sha256 == hashlib.sha256(b"email:5:12").hexdigest()
     assert got[2].spans == "" and got[2].base_sha256 == hashlib.sha256(b"").hexdigest() and got[4].n_card == 0
     assert pii.find(df).count() == 5 and pii.find(df.limit(0)).count() == 0
+
+
+def test_plain_spans_are_the_patterns_matches():
+    """Read in linear time, the spans are those of the contract's patterns, leftmost and not overlapping."""
+    import random
+
+    r = random.Random(1)
+    for _ in range(20_000):
+        text = "".join(r.choice("aZ1920@@..._-+%( )é\n") for _ in range(r.randint(0, 40)))
+        plain = [(k, m.start(), m.end()) for k, kind in enumerate(pii.KINDS) for m in pii.PATTERNS[kind].finditer(text) if pii._passes(kind, m[0])]
+        assert pii.base_spans(text) == plain, text
+
+
+def test_long_runs_take_linear_time(model):
+    import time
+
+    began = time.process_time()
+    for text in ("1" * 1_000_000, "@" + "a" * 1_000_000, "a" * 1_000_000 + "@", "1." * 500_000, "a@" * 500_000, "a@b." * 250_000, "+1" * 500_000):
+        pii.base_spans(text)
+    for text in ("1" * 1_000_000, "a" * 1_000_000 + "@", "1 " * 5_000):
+        pii.spans(text, model)
+    assert time.process_time() - began < 60
