@@ -11,7 +11,9 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from functools import cache, partial
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ TO_END = set("script style noscript template iframe textarea".split())
 FOREIGN, SLASH = {"svg", "math"}, re.compile(r"""(?:^|["'\s]|(?:^|\s)[^\s="']+)/$""")
 #: A start tag of the key ends an open element of these, as end tags may be left out.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-TOKEN = re.compile(r"<!--(?:>|.*?(?:-->|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[/!?]?[a-zA-Z][^>]*\Z", re.S)
+TAG, PLAIN, COMMENT = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)"), re.compile(r"[^>\"']*+"), re.compile(r"<!--(?:>|.*?(?:-->|\Z))", re.S)
 RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|aria-label|itemprop)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 #: Words in names of elements, by what they tell; fixed values.
@@ -53,6 +55,19 @@ PAGES, PASSES = 400, 8
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
 
+class Element(NamedTuple):
+    """An open element, and what it and its ancestors tell: groups of names, the nearest of them, whether main is among them."""
+
+    tag: str
+    groups: frozenset[str]
+    nearest: str
+    main: bool
+
+
+#: Where no element is open.
+NOWHERE = Element("none", frozenset(), "", False)
+
+
 def _names(attributes: str) -> list[str]:
     out = []
     for key, a, b, c in ATTRIBUTE.findall(attributes):
@@ -66,10 +81,30 @@ def _names(attributes: str) -> list[str]:
     return list(dict.fromkeys(out))
 
 
+def _tag_end(page: str, at: int, lost: set[int]) -> int:
+    """Where the tag whose attributes begin at ``at`` ends: at the first > outside of quotes, or else the first; -1 without one.
+
+    ``lost`` gathers the opening quotes that a search came through in vain; one that meets them again stops, so that
+    all searches of a page together take linear time.
+    """
+    k, path = at, []
+    while (k := PLAIN.match(page, k).end()) < len(page) and k not in lost:
+        if page[k] == ">":
+            return k
+        path.append(k)
+        if (close := page.find(page[k], k + 1)) < 0:
+            break
+        k = close + 1
+    lost.update(path)
+    return page.find(">", at)
+
+
 def blocks(page: str) -> list[tuple[str, list[str]]]:
     """The leaf blocks of a page, in order: text with references decoded and white space joined, and features."""
     found: list[tuple[str, list[str]]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[Element] = []
+    count: Counter[str] = Counter()  # open elements by tag
+    unclosed: set[str] = set()  # tags without an end tag from here on
     pieces: list[str] = []
     linked = chars = 0
     links = 0  # open anchors
@@ -79,7 +114,7 @@ def blocks(page: str) -> list[tuple[str, list[str]]]:
         if pieces:
             text = " ".join(entities.unescape("".join(pieces)).split())
             if text:
-                found.append((text, _features(text, stack, linked / max(1, chars))))
+                found.append((text, _features(text, stack[-1] if stack else NOWHERE, linked / max(1, chars))))
             pieces.clear()
         linked = chars = 0
 
@@ -91,39 +126,46 @@ def blocks(page: str) -> list[tuple[str, list[str]]]:
             chars += n
             linked += n * (links > 0)
 
-    at, n = 0, len(page)
+    at, n, last, lost = 0, len(page), page.rfind(">"), set()
     while at < n:
         open_at = page.find("<", at)
         if open_at < 0:
             add(page[at:])
             break
-        m = TOKEN.match(page, open_at)
+        m = TAG.match(page, open_at)
         if not m:
-            add(page[at : open_at + 1])
-            at = open_at + 1
+            rest = COMMENT.match(page, open_at)
+            mark = page[open_at + 1 : open_at + 3]
+            if not rest and not (mark[:1] in ("!", "?") and (open_at < last or mark[1:].isascii() and mark[1:].isalpha())):
+                add(page[at : open_at + 1])
+                at = open_at + 1
+                continue
+            add(page[at:open_at])
+            at = rest.end() if rest else page.find(">", open_at) + 1 or n
             continue
         add(page[at:open_at])
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
-        if not name:
-            continue
-        if m[1] or m[4]:  # an end tag
+        close = _tag_end(page, m.end(), lost) if open_at < last else -1
+        if close < 0:
+            break
+        at, name, attributes = close + 1, m[2].lower(), page[m.end() : close]
+        if m[1]:  # an end tag
             if name == "a":
                 links = max(0, links - 1)
             if name in BLOCK:
                 end()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
+            while count[name]:
+                count[stack[-1].tag] -= 1
+                if stack.pop().tag == name:
                     break
             if name == "p":
                 pieces.append(" ")
             continue
-        attributes = m[3] if m[2] else m[6]
         if name in RAW_END:
             if name in FOREIGN and SLASH.search(attributes):
                 continue
-            closing = RAW_END[name].search(page, at)
+            closing = None if name in unclosed else RAW_END[name].search(page, at)
+            if not closing:
+                unclosed.add(name)
             at = closing.end() if closing else n if name in TO_END else at
             continue
         if name == "br":
@@ -131,40 +173,42 @@ def blocks(page: str) -> list[tuple[str, list[str]]]:
         if name in BLOCK:
             end()
             links = 0
-            while stack and (stack[-1][0] == "p" or stack[-1][0] not in BLOCK):
-                stack.pop()
-            if shut := CLOSES.get(name):
-                if stack and stack[-1][0] in shut:
-                    stack.pop()
+            while stack and stack[-1].tag == "p":
+                count[stack.pop().tag] -= 1
+            if stack and stack[-1].tag in CLOSES.get(name, ()):
+                count[stack.pop().tag] -= 1
             if name == "body":
                 stack.clear()
+                count.clear()
         elif name == "a":
             links += 1
-        if name not in VOID and (name in BLOCK):
-            stack.append((name, tuple(_names(attributes)) if attributes.strip() else ()))
+        if name not in VOID and name in BLOCK:
+            stack.append(_inside(stack[-1] if stack else NOWHERE, name, _names(attributes) if attributes.strip() else []))
+            count[name] += 1
     end()
     return found
 
 
-def _features(text: str, stack: list, linked: float) -> list[str]:
-    f, nearest, main = ["any"], "", False
-    for tag, names in stack:
-        groups = [STRONG[tag]] if tag in STRONG else []
-        for g in [*groups, *names]:
-            if g == "head" and main:
-                g = "head of main"
-            f.append(f"in {g}")
-            nearest = g
-            main = main or g == "main"
-    tag = stack[-1][0] if stack else "none"
+def _inside(outer: Element, tag: str, names: list[str]) -> Element:
+    """An element within another: the features of all its ancestors follow from the next one's, so depth costs nothing."""
+    groups, nearest, main = outer.groups, outer.nearest, outer.main
+    for g in [*([STRONG[tag]] if tag in STRONG else []), *names]:
+        nearest = "head of main" if g == "head" and main else g
+        groups, main = groups | {nearest}, main or g == "main"
+    return Element(tag, groups, nearest, main)
+
+
+def _features(text: str, at: Element, linked: float) -> list[str]:
+    nearest = at.nearest
+    f = ["any", *(f"in {g}" for g in sorted(at.groups))]
     words = text.count(" ") + 1
-    f += [f"tag {tag}", f"nearest {nearest or 'none'}", f"links {min(3, int(linked * 3.99))}", f"words {min(6, words.bit_length())}"]
+    f += [f"tag {at.tag}", f"nearest {nearest or 'none'}", f"links {min(3, int(linked * 3.99))}", f"words {min(6, words.bit_length())}"]
     f += ["sentence" if text[-1] in ".!?…:;\"'”»)" else "no sentence end"]
     if "©" in text or "all rights reserved" in text.lower():
         f.append("copyright")
     if nearest not in ("", "main", "head of main"):
         f.append("inside something else")
-    elif main:
+    elif at.main:
         f.append("plainly in main")
     return f
 
@@ -323,7 +367,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars (code points) of each page.
 
     A null or empty html has an empty text; a null url stays null; repeated rows give repeated results; other columns
-    are ignored; an empty table gives an empty result. Nothing is dropped for its length.
+    are ignored; an empty table gives an empty result. Nothing is dropped for its length, and time grows in proportion to it,
+    however deep elements lie and whatever is left open.
     """
     ship(pages.sparkSession)
     chain = pages.sparkSession.sparkContext.broadcast(train())

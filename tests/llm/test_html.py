@@ -55,3 +55,16 @@ def test_elements_without_an_end_tag():
     assert texts("<p>A</p><svg class=icon /><p>B</p>") == ["A", "B"] == texts("<p>A</p><svg/><p>B</p>") == texts("<p>A</p><math id='m'/><p>B</p>")
     assert texts("<p>A</p><object data=x><p>B</p>") == ["A", "B"] and texts("<p>A</p><svg/><p>B</p><svg><text>c</text></svg><p>D") == ["A", "B", "D"]
     assert texts("<p>A</p><svg class=a/><text>c</text></svg><p>B</p>") == ["A", "B"] and texts("<p>A</p><textarea>x<p>B") == ["A"]
+
+
+def test_broken_pages_take_linear_time(chain):
+    """Deep nesting, end tags of nothing, elements that never end, and quotes that never close."""
+    import time
+
+    began = time.process_time()
+    deep = html.main_text("<article>" + "<div class='content'>word word.<section>" * 50_000, chain)
+    assert deep.count("word word.") == 50_000
+    for page in ("<div>" * 100_000 + "</section>" * 100_000, "<object>x" * 100_000, "<a '>'" * 50_000, "<a '>'\"<b \">" * 50_000, "<!1" * 100_000):
+        html.main_text(page, chain)
+    assert time.process_time() - began < 60
+    assert [t for t, _ in html.blocks("<p title='a>b'>x</p><b c='>d</p><p>e")] == ["x", "d", "e"]
