@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 from pyspark.sql import functions as F
 
-from sievework.llm import bpe, decontaminate, hmm, html, jaccard, lines, passages, pii, quality, warc
+from sievework.llm import bpe, codes, decontaminate, hmm, html, jaccard, lines, merkle, passages, pii, quality, simhash, warc
+from sievework.llm.oracles import ORACLES as ORACLES
 from sievework.llm.shared import Scratch, table
 
 #: Folder of the public vocabularies; a parameter of the deployment.
@@ -61,14 +63,20 @@ def op10_bpe(spark, sf_dir):
     return bpe.token_digests(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
-QUERIES = {"op1_hmm": op1_hmm, "op2_passages": op2_passages, "op3_pii": op3_pii, "op4_quality": op4_quality, "op5_warc": op5_warc, "op6_lines": op6_lines, "op7_decontaminate": op7_decontaminate, "op8_html": op8_html, "op9_jaccard": op9_jaccard, "op10_bpe": op10_bpe}
-ORACLES: dict[str, str] = {
-    "op5_warc": """
-with p as (select page_id, coalesce(html, '') as html from pages),
-q as (select page_id, strlen(html)::bigint as payload_bytes, sha256(html) as payload_digest from p),
-f as (select payload_digest, min(page_id) as first from q where payload_bytes >= 100 group by 1)
-select q.page_id, q.payload_bytes, q.payload_digest,
-  case when f.first < q.page_id then 'revisit' else 'response' end as record_type,
-  case when f.first < q.page_id then f.first end as refers_to
-from q left join f on q.payload_digest = f.payload_digest and q.payload_bytes >= 100""",
-}
+def op11_codes(spark, sf_dir):
+    scratch = Scratch(spark, "codes")
+    found = codes.compress(table(spark, sf_dir, "embeddings"), scratch)
+    digest = hashlib.sha256(",".join(map(str, found.books.ravel().tolist())).encode()).hexdigest()
+    code = F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
+    return codes.label_errors(found.rows, scratch).select("vec_id", code.alias("code"), "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
+
+
+def op12_simhash(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "simhash"))
+
+
+def op13_merkle(spark, sf_dir):
+    return merkle.verified(merkle.manifest(table(spark, sf_dir, "documents"), Scratch(spark, "merkle")))
+
+
+QUERIES = {"op1_hmm": op1_hmm, "op2_passages": op2_passages, "op3_pii": op3_pii, "op4_quality": op4_quality, "op5_warc": op5_warc, "op6_lines": op6_lines, "op7_decontaminate": op7_decontaminate, "op8_html": op8_html, "op9_jaccard": op9_jaccard, "op10_bpe": op10_bpe, "op11_codes": op11_codes, "op12_simhash": op12_simhash, "op13_merkle": op13_merkle}
