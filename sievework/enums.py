@@ -40,3 +40,23 @@ CONSTRAINT_TEXT = {
     "int_times": "Multiplicative constraints enforce that one integer variable equals the product of two others",
     "int_max": "Maximum constraints bind a variable to the maximum value among a set of variables",
 }
+
+#: The wording of the published prompts. A prompt's segments are mode, place, text before, part, text behind.
+QUESTION = "The goal is to determine which constraint programming solver would be best suited for this problem, considering the following options:\n\n"
+QUESTION_END = "\n\nAnswer only with the name of the 3 best solvers inside square brackets separated by comma and nothing else."
+QUESTION_END_REASONED = "\n\nAnswer with the name of the 3 best solvers inside square brackets separated by comma, followed by a short explanation of the main factors behind your choice."
+SOLVER_HEAD = "Solvers and descriptions:\n"
+SCRIPT_NOTE = "% [Model script truncated to fit model context window]\n"
+SUMMARY_MARKER = "\n[TRUNCATED: fzn summary shortened to fit model context]\n"
+PROMPT_SEGMENTS = [
+    ("model", 1, "Problem description:\n", "description", "\n\n"),
+    ("model", 2, "\n\nMiniZinc model:\n", "script", "\n\n"),
+    ("model", 3, "MiniZinc data:\n", "data", "\n\n"),
+    ("model", 4, "", "solver_text", "\n"),
+    ("model", 5, "", "note", ""),
+    ("model", 6, "", "question", ""),
+    ("summary", 1, "Problem description:\n", "description", "\n\n"),
+    ("summary", 2, "Given this description of a MiniZinc problem:\n", "summary", "\n\n"),
+    ("summary", 3, "", "solver_text", "\n"),
+    ("summary", 4, "", "question", ""),
+]

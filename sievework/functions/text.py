@@ -27,6 +27,29 @@ def names(c) -> Column:
     return F.filter(F.transform(F.split(c, "[,;]"), strip), lambda x: x != "")
 
 
+def listed_names(c) -> Column:
+    """The names of a list written as text: one bracket pair around it goes, then quotes at the ends of each part between commas."""
+    s = strip(c)
+    s = F.when(s.startswith("[") & s.endswith("]") & (F.char_length(s) > 1), F.substring(s, F.lit(2), F.char_length(s) - 2)).otherwise(s)
+    parts = F.filter(F.transform(F.split(s, ","), strip), lambda p: p != "")
+    return F.filter(F.transform(parts, lambda p: F.regexp_replace(p, "^[\"']+|[\"']+$", "")), lambda p: p != "")
+
+
+def declared(c) -> Column:
+    """The name that a text declares: that of the first predicate, function, annotation or constraint with arguments; null if there is none."""
+    return F.nullif(F.regexp_extract(c, r"\b(?:predicate|function|annotation|constraint)\b\s+([A-Za-z_]\w*)\s*\(", 1), F.lit(""))
+
+
+def tightened(c) -> Column:
+    """A text in one line: white space in one blank, 'as [ b ]' as 'as[b]', none inside brackets' ends or before commas, one blank
+    behind commas and on either side of an operator that has some there."""
+    c = F.regexp_replace(strip(F.replace(c, F.lit("\u00a0"), F.lit(" "))), r"\s+", " ")
+    c = F.regexp_replace(c, r"\b(\w+)\s*\[\s*([^\]]+?)\s*\]", "$1[$2]")
+    for pattern, to in [(r"\(\s+", "("), (r"\s+\)", ")"), (r"\s+,", ","), (r",\s+", ", ")]:
+        c = F.regexp_replace(c, pattern, to)
+    return F.regexp_replace(c, r"\s+(=|<=|>=|<|>)\s+", " $1 ")
+
+
 def first_bracket(c) -> Column:
     """What stands in the first [...]; null if there is none."""
     return F.nullif(F.regexp_extract(c, r"\[([^\]]+)\]", 1), F.lit(""))
@@ -50,10 +73,14 @@ def brackets(c) -> Column:
 
 
 def seconds(c) -> Column:
-    """Whole seconds of a duration such as 24m8.928s behind 'try again in' or 'try again after'; null without one."""
-    found = F.regexp_extract(F.lower(c), r"try again (?:in|after)\s+((?:\d+(?:\.\d+)?\s*[hms]\s*)+)", 1)
-    part = lambda unit: F.coalesce(F.regexp_extract(found, rf"(\d+(?:\.\d+)?)\s*{unit}", 1).try_cast("double"), F.lit(0.0))
-    return F.when(found != "", F.floor(part("h") * 3600 + part("m") * 60 + part("s")).cast("long"))
+    """Whole seconds of the durations, such as 24m8.928s, behind 'try again in', else behind 'try again after'; all parts are
+    added up. Null if they come to nothing."""
+    phrase = lambda word: F.nullif(F.regexp_extract(c, rf"(?i)try again {word}\s+([0-9hms.\s]+)", 1), F.lit(""))
+    found = F.lower(F.coalesce(phrase("in"), phrase("after")))
+    parts = F.arrays_zip(F.regexp_extract_all(found, F.lit(r"(\d+(?:\.\d+)?)([hms])"), F.lit(1)).alias("n"), F.regexp_extract_all(found, F.lit(r"(\d+(?:\.\d+)?)([hms])"), F.lit(2)).alias("unit"))
+    worth = lambda p: p.n.cast("double") * F.when(p.unit == "h", 3600).when(p.unit == "m", 60).otherwise(1)
+    total = F.aggregate(parts, F.lit(0.0), lambda s, p: s + worth(p))
+    return F.when(total > 0, F.floor(total).cast("long"))
 
 
 def error_policy(c) -> Column:
@@ -92,13 +119,13 @@ def tokens(c) -> Column:
     return F.when(n == 0, 0).otherwise(F.greatest(F.lit(1), F.floor(n / 4))).cast("long")
 
 
-def truncated(c, budget: int, script: bool = False) -> Column:
+def truncated(c, budget: int | Column, script: bool = False, marker: str | None = None) -> Column:
     """A text cut to a budget of estimated tokens, marked where it was cut; nothing but a mark without a budget. Scripts have marks of their own."""
-    marker, removed = (SCRIPT_MARKER, SCRIPT_REMOVED) if script else (MARKER, REMOVED)
-    if budget <= 0:
-        return F.lit(removed)
-    keep = max(20, 4 * budget)
-    return F.when(tokens(c) <= budget, c).otherwise(F.concat(F.regexp_replace(F.substring(c, 1, keep), r"\s+$", ""), F.lit(marker)))
+    mark, removed = (SCRIPT_MARKER, SCRIPT_REMOVED) if script else (MARKER, REMOVED)
+    budget = budget if isinstance(budget, Column) else F.lit(budget)
+    keep = F.greatest(F.lit(20), 4 * budget).cast("int")
+    cut = F.concat(F.regexp_replace(F.substring(c, F.lit(1), keep), r"\s+$", ""), F.lit(marker or mark))
+    return F.when(budget <= 0, removed).when(tokens(c) <= budget, c).otherwise(cut)
 
 
 def decimals(c, places: int) -> Column:

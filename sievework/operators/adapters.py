@@ -12,8 +12,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """problem, category, instance, solver, status, objective: one row for each line item."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_extendedprice", F.concat("l_returnflag", "l_linestatus").alias("flags"))
+    """problem, category, instance, solver, status, objective, place: one row for each line item, which has its place in its order."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_extendedprice", "l_linenumber", F.concat("l_returnflag", "l_linestatus").alias("flags"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
     problem, flags = F.col("o_orderpriority"), F.col("flags")
     category = F.when(problem == "1-URGENT", "SAT").when(problem == "2-HIGH", "MAX").otherwise("MIN")
@@ -25,6 +25,7 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("s"), "l_suppkey").alias("solver"),
         status.alias("status"),
         F.when(status.isin("UNK", "ERR"), None).otherwise(F.col("l_extendedprice")).alias("objective"),
+        F.col("l_linenumber").alias("place"),
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from sievework.enums import CONTEXT_RESERVE, DEFAULT_CONTEXT
-from sievework.functions.text import brackets, key_of_path, names, pairs, strip, tokens
+from sievework.functions.text import brackets, key_of_path, pairs, strip, tokens
 from sievework.shipping import ship
 
 
@@ -151,8 +151,3 @@ def answered(prompts: DataFrame, ask, column: str = "prompt") -> DataFrame:
 
     ship(prompts.sparkSession)
     return prompts.mapInPandas(run, StructType([*prompts.schema.fields, StructField("response", StringType())]))
-
-
-def clean_answer(c: Column) -> Column:
-    """Names of a bracketed list as text, quotes and brackets taken away."""
-    return names(strip(F.regexp_replace(c, r"[\[\]\"']", "")))

@@ -102,6 +102,31 @@ def first_of(df: DataFrame, by: list[str], *order) -> DataFrame:
     return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter("_rank = 1").drop("_rank")
 
 
-def last_score(scored: DataFrame) -> DataFrame:
-    """One score for each instance and solver: of repeated rows the largest (their order isn't defined in a table)."""
-    return scored.groupBy(*PAIR, "solver").agg(F.max("score").alias("score"))
+def largest_score(scored: DataFrame) -> DataFrame:
+    """One score for each instance and solver: of repeated rows the largest, nothing counting 0."""
+    return scored.groupBy(*PAIR, "solver").agg(F.max(F.coalesce("score", F.lit(0.0))).alias("score"))
+
+
+def last_score(scored: DataFrame, place: str = "place") -> DataFrame:
+    """One score for each instance and solver: of repeated rows the last by its place in the results, a missing score included; of
+    rows in one place that with the largest."""
+    return scored.groupBy(*PAIR, "solver").agg(F.max_by("score", F.struct(place, F.coalesce("score", F.lit(-1.0)))).alias("score"))
+
+
+def candidates(pairs: DataFrame, results: DataFrame) -> DataFrame:
+    """``pairs`` (problem, instance) with solvers, the sorted names of those with a result there; an empty list where there is none."""
+    have = results.groupBy(*PAIR).agg(F.sort_array(F.collect_set("solver")).alias("solvers"))
+    return pairs.select(*PAIR).distinct().join(have, PAIR, "left").withColumn("solvers", F.coalesce("solvers", F.array().cast("array<string>")))
+
+
+def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
+    """bin (from 1) and n of equal bins between the smallest and the largest value, the last one closed; nulls are left out.
+
+    Values that are all equal lie in the middle of a range of 1. The range, one row, is all that is broadcast.
+    """
+    x = df.select(F.col(column).cast("double").alias("x")).filter("x is not null")
+    ends = x.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    flat = F.col("lo") == F.col("hi")
+    ends = ends.select(F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"), F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"))
+    at = F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins) + 1
+    return x.join(F.broadcast(ends)).groupBy(F.least(F.lit(bins), at).cast("long").alias("bin")).agg(F.count("*").alias("n"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sievework.functions.text import strip
+from sievework.rounds import Rounds
+
+#: Tokens that say a type.
+TYPES = ["int", "float", "bool", "set", "var", "opt", "array"]
 
 
 def by_definition(names: DataFrame) -> DataFrame:
@@ -46,14 +50,46 @@ def common_prefix(names):
     return F.array_join(F.slice(first, F.lit(1), F.coalesce(F.array_max(same), F.lit(0))), "_")
 
 
-def unified(names: DataFrame) -> DataFrame:
-    """One name for all names of a definition: their common prefix, else the shortest; numbered where two definitions want the same."""
+def untyped(name: Column) -> Column:
+    """A name's tokens without those of types in front; a name of types alone keeps them all."""
+    tokens = F.split(name, "_")
+    kept = F.filter(F.sequence(F.lit(1), F.size(tokens)), lambda i: F.exists(F.slice(tokens, F.lit(1), i), lambda t: ~t.isin(TYPES)))
+    return F.when(F.size(kept) > 0, F.array_join(F.slice(tokens, F.get(kept, F.lit(0)), F.size(tokens)), "_")).otherwise(name)
+
+
+def unified(names: DataFrame, drop_types: bool = False) -> DataFrame:
+    """One name for all names of a definition: definition, names, unified.
+
+    A definition wants the common prefix of its names, else the shortest. Definitions are served in the order of their number
+    of names and their text: one whose wish is taken gets its shortest name that isn't, else its wish with __2, __3 and so on.
+    That order is not walked: all ask at once, each name goes to the first that asks, and the others ask for their next
+    choice, until none is turned away. As every name prefers the same order, the end is that of a walk. What is asked for
+    with a number is at least as high as the number of those that come before and ask with one, so that n
+    definitions of one wish take few rounds, not n.
+    """
+    rounds = Rounds(names.sparkSession)
     groups = by_definition(names)
-    shortest = F.get(F.transform(F.array_sort(F.transform("names", lambda n: F.struct(F.char_length(n).alias("l"), n.alias("n")))), lambda x: x.n), F.lit(0))
-    groups = groups.withColumn("wanted", F.when(F.size("names") == 1, F.get("names", F.lit(0))).otherwise(F.coalesce(F.nullif(common_prefix(F.col("names")), F.lit("")), shortest)))
-    w = Window.partitionBy("wanted").orderBy(F.size("names"), "definition")
-    rank = F.row_number().over(w)
-    return groups.withColumn("unified", F.when(rank == 1, F.col("wanted")).otherwise(F.concat("wanted", F.lit("_"), rank))).drop("wanted")
+    first = lambda c: F.transform(F.array_sort(F.transform(c, lambda n: F.struct(F.char_length(n).alias("l"), n.alias("n")))), lambda x: x.n)
+    forms = F.transform("names", untyped) if drop_types else F.col("names")
+    wish = F.when(F.size("names") == 1, F.get("names", F.lit(0))).otherwise(F.coalesce(F.nullif(common_prefix(forms), F.lit("")), F.get(first(F.col("names")), F.lit(0))))
+    asking = rounds.kept(groups.select("definition", "names", wish.alias("wish"), first(F.col("names")).alias("others")).select("*", F.lit(0).alias("at")))
+    order = F.struct(F.size("names"), "definition")
+    while True:
+        n = F.size("others")
+        ahead = F.row_number().over(Window.partitionBy("wish", F.col("at") > n).orderBy(F.size("names"), "definition")) - 1
+        at = F.when(F.col("at") > n, F.greatest("at", n + 1 + ahead)).otherwise(F.col("at"))
+        asking = asking.withColumn("at", at)
+        asked = F.when(F.col("at") == 0, F.col("wish")).when(F.col("at") <= n, F.get("others", F.col("at") - 1)).otherwise(F.concat("wish", F.lit("__"), F.col("at") - n + 1))
+        asking = asking.withColumn("unified", asked).withColumn("_order", order)
+        winners = asking.groupBy("unified").agg(F.min("_order").alias("_first"))
+        met = asking.join(winners, "unified").withColumn("lost", F.col("_order") != F.col("_first"))
+        asking = rounds.kept(met.select("definition", "names", "wish", "others", (F.col("at") + F.col("lost").cast("int")).alias("at"), "unified", "lost"))
+        if asking.filter("lost").isEmpty():
+            break
+        asking = asking.drop("unified", "lost")
+    out = asking.select("definition", "names", "unified")
+    rounds.close(asking)
+    return out
 
 
 def filled(rows: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:

@@ -217,11 +217,11 @@ def missing_summary(spark, d):
     return lost.groupBy("provider", "model").agg(F.count_distinct("instance").alias("instances"), F.count("*").alias("n"))
 
 
-@query_of(query(*BOTH, top1(), "select problem, instance, list_sort(list(distinct solver)).array_to_string(',') as solvers from res where (problem, instance) in (select (problem, instance) from t1_d where score is null) group by 1, 2"))
+@query_of(query(*BOTH, top1(), "l as (select distinct problem, instance from t1_d where score is null)", f"h as (select problem, instance, list_sort(list(distinct solver)).array_to_string(',') as s from res where {IN_PORTFOLIO} group by 1, 2)", "select l.problem, l.instance, coalesce(s, '') as solvers from l left join h on l.problem = h.problem and l.instance = h.instance"))
 def candidate_solvers(spark, d):
+    """The portfolio's solvers with a result for each instance that a first choice has no score for; many have none."""
     lost = sel.top1(suggestions(spark, d), _sco(spark, d)).filter("score is null").select("problem", "instance").distinct()
-    have = results(spark, d).groupBy("problem", "instance").agg(F.sort_array(F.collect_set("solver")).alias("s"))
-    return lost.join(have, ["problem", "instance"], "left").filter("s is not null").select("problem", "instance", F.array_join("s", ",").alias("solvers"))
+    return sel.candidates(lost, restrict(results(spark, d), PORTFOLIO)).select("problem", "instance", F.array_join("solvers", ",").alias("solvers"))
 
 
 @query_of(query(RESULTS, SUGGESTIONS, "(select distinct problem, instance from sug) except (select distinct problem, instance from res)"))
@@ -229,25 +229,25 @@ def uncovered_pairs(spark, d):
     return suggestions(spark, d).select("problem", "instance").subtract(results(spark, d).select("problem", "instance"))
 
 
-PORT = f"last as (select problem, instance, solver, max(score) as score from sco where {IN_PORTFOLIO} group by 1, 2, 3)"
+PORT = f"last as (select problem, instance, solver, max(coalesce(score, 0)) as score from sco where {IN_PORTFOLIO} group by 1, 2, 3)"
 
 
 @query_of(query(*BASE, PORT, "b as (select problem, instance, max(score) as s from last group by 1, 2), i as (select distinct problem, instance from res)", "select i.problem, round(sum(coalesce(s, 0)), 6) as portfolio_best, count(*) as instances from i left join b on i.problem = b.problem and i.instance = b.instance group by 1"))
 def portfolio_scores(spark, d):
     s = _sco(spark, d)
-    best = sel.last_score(restrict(s, PORTFOLIO)).groupBy("problem", "instance").agg(F.max("score").alias("s"))
+    best = sel.largest_score(restrict(s, PORTFOLIO)).groupBy("problem", "instance").agg(F.max("score").alias("s"))
     every = s.select("problem", "instance").distinct()
     return every.join(best, ["problem", "instance"], "left").groupBy("problem").agg(F.round(F.sum(F.coalesce("s", F.lit(0.0))), 6).alias("portfolio_best"), F.count("*").alias("instances"))
 
 
 @query_of(query(*BASE, PORT, "select problem, solver, round(coalesce(sum(score), 0), 6) as total from last group by 1, 2"))
 def portfolio_breakdown(spark, d):
-    return sel.last_score(restrict(_sco(spark, d), PORTFOLIO)).groupBy("problem", "solver").agg(F.round(F.coalesce(F.sum("score"), F.lit(0.0)), 6).alias("total"))
+    return sel.largest_score(restrict(_sco(spark, d), PORTFOLIO)).groupBy("problem", "solver").agg(F.round(F.coalesce(F.sum("score"), F.lit(0.0)), 6).alias("total"))
 
 
 @query_of(query(*BASE, PORT, "select round(sum(score), 6) as total, count(*) as n from last"))
 def portfolio_grand_total(spark, d):
-    return sel.last_score(restrict(_sco(spark, d), PORTFOLIO)).agg(F.round(F.sum("score"), 6).alias("total"), F.count("*").alias("n"))
+    return sel.largest_score(restrict(_sco(spark, d), PORTFOLIO)).agg(F.round(F.sum("score"), 6).alias("total"), F.count("*").alias("n"))
 
 
 TEMPS = "tv as (select variant, temperature, model, coalesce(sum(score), 0) as total, avg(score) as average from t1_d group by 1, 2, 3)"
@@ -276,9 +276,15 @@ def summary_merge(spark, d):
     return t.groupBy("variant").agg(F.max("total").alias("best")).join(t.filter("temperature > 0").groupBy("variant").agg(F.max("average").alias("best_average")), "variant", "full").select("variant", r6("best"), r6("best_average"))
 
 
-@query_of(query(*BASE, "select least(30, cast(floor(score * 30) as bigint) + 1) as bin, count(*) as n from sco where score is not null group by 1"))
+@query_of(query(*BASE, TOTALS, "r as (select min(total) as lo, max(total) as hi from tot)", "select least(30, cast(floor((total - lo) / (hi - lo) * 30) as bigint) + 1) as bin, count(*) as n from tot, r group by 1"))
+def total_histogram(spark, d):
+    """How many solvers have a total in each of 30 bins that span the totals there are."""
+    return sel.histogram(sel.solver_totals(_sco(spark, d)), "total")
+
+
+@query_of(query(*BASE, "r as (select min(score) as lo, max(score) as hi from sco)", "select least(30, cast(floor((score - lo) / (hi - lo) * 30) as bigint) + 1) as bin, count(*) as n from sco, r where score is not null group by 1"))
 def score_histogram(spark, d):
-    return _sco(spark, d).filter("score is not null").groupBy(F.least(F.lit(30), F.floor(F.col("score") * 30) + 1).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+    return sel.histogram(_sco(spark, d), "score")
 
 
 @query_of(query(*BOTH, top1(), DIFFICULTY, "select problem, instance, round(total, 6) as total from dif order by round(total, 6), problem, instance limit 10"))
@@ -308,7 +314,7 @@ def answer_evaluation(spark, d):
     return e.groupBy("provider", "model", "verdict").agg(F.count("*").alias("n"), F.sum("places").alias("places"), F.sum("anywhere").alias("anywhere"))
 
 
-@query_of(query(*BOTH, "last as (select problem, instance, solver, max(score) as score from sco group by 1, 2, 3)", "x as (select provider, model, problem, instance, unnest(top3) as solver, generate_subscripts(top3, 1) as pos from sug where top3 is not null)", "select provider, model, x.problem, x.instance, string_agg(cast(cast(round(coalesce(score, 0), 3) * 1000 as bigint) as varchar), ',' order by pos) as scores, round(max(coalesce(score, 0)), 6) as best from x left join last on x.problem = last.problem and x.instance = last.instance and x.solver = last.solver group by 1, 2, 3, 4"))
+@query_of(query(*BOTH, "last as (select problem, instance, solver, list(score order by place, coalesce(score, -1))[-1] as score from sco group by 1, 2, 3)", "x as (select provider, model, problem, instance, unnest(top3) as solver, generate_subscripts(top3, 1) as pos from sug where top3 is not null)", "select provider, model, x.problem, x.instance, string_agg(cast(cast(round(coalesce(score, 0), 3) * 1000 as bigint) as varchar), ',' order by pos) as scores, round(max(coalesce(score, 0)), 6) as best from x left join last on x.problem = last.problem and x.instance = last.instance and x.solver = last.solver group by 1, 2, 3, 4"))
 def array_score_lookup(spark, d):
     x = suggestions(spark, d).filter("top3 is not null").select("provider", "model", "problem", "instance", F.posexplode("top3").alias("pos", "solver"))
     x = x.join(sel.last_score(_sco(spark, d)), ["problem", "instance", "solver"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))

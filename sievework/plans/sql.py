@@ -3,7 +3,7 @@
 RESULTS = """res as (
   select *, case when status in ('UNK', 'ERR') then null else price end as objective from (
     select o_orderpriority as problem, case o_orderpriority when '1-URGENT' then 'SAT' when '2-HIGH' then 'MAX' else 'MIN' end as category,
-      cast(o_orderkey as varchar) as instance, 's' || l_suppkey as solver, l_extendedprice as price,
+      cast(o_orderkey as varchar) as instance, 's' || l_suppkey as solver, l_extendedprice as price, l_linenumber as place,
       case l_returnflag || l_linestatus when 'NO' then 'S' when 'RF' then 'SC' when 'RO' then 'UNK' when 'AF' then 'ERR' when 'AO' then 'C' when 'NF' then 'S' end as status
     from lineitem join orders on l_orderkey = o_orderkey))"""
 

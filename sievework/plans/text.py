@@ -91,13 +91,6 @@ def error_policy(spark, d):
     return e.select("event_id", "policy", tx.wait("policy").alias("wait"), tx.backoff(F.col("event_id") % 9).alias("backoff"))
 
 
-@query_of("select event_id, case when event_id % 4 = 3 then null else (floor((event_id % 3) * 3600 + (event_id % 60) * 60 + (event_id % 50) + 0.25)::bigint) end as seconds from events")
-def retry_seconds(spark, d):
-    k = F.col("event_id")
-    message = F.when(k % 4 == 3, "Quota reached").otherwise(F.concat(F.lit("Limit. Please try again in "), k % 3, F.lit("h"), k % 60, F.lit("m"), k % 50, F.lit(".25s. More")))
-    return table(spark, d, "events").select("event_id", tx.seconds(message).alias("seconds"))
-
-
 @query_of("""with recursive m as (select conv_id, turn, (case when length(text) = 0 then 0 else greatest(1, length(text) // 4) end)::bigint as n, row_number() over (partition by conv_id order by turn, (case when length(text) = 0 then 0 else greatest(1, length(text) // 4) end)) as rn from conversations),
 p as (select conv_id, turn, rn, n as used, 0::bigint as chat from m where rn = 1 union all select m.conv_id, m.turn, m.rn, case when p.used > 0 and p.used + m.n > 60 then m.n else p.used + m.n end, case when p.used > 0 and p.used + m.n > 60 then p.chat + 1 else p.chat end from p join m on m.conv_id = p.conv_id and m.rn = p.rn + 1)
 select conv_id, turn, chat from p""")
@@ -131,14 +124,6 @@ def suffix_lookup(spark, d):
     return taxonomy.looked_up(names, known)
 
 
-@query_of("""with n as (select distinct lower(p_type) || '_k' || p_partkey % 3 as name, case when p_partkey % 2 = 0 then p_type else ' ' || p_type || ' ' end as definition, p_partkey % 3 as k from part),
-g as (select trim(definition) as definition, list_sort(list(distinct name)) as names from n group by 1) select definition, array_to_string(names, ',') as names, case when len(names) = 1 then names[1] else regexp_replace(names[1], '_k[0-9]$', '') end as unified from g""")
-def unify_names(spark, d):
-    p = table(spark, d, "part")
-    names = p.select(F.concat(F.lower("p_type"), F.lit("_k"), F.col("p_partkey") % 3).alias("name"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_type")).otherwise(F.concat(F.lit(" "), "p_type", F.lit(" "))).alias("definition"))
-    return taxonomy.unified(names).select("definition", F.array_join("names", ",").alias("names"), "unified")
-
-
 @query_of("with k as (select distinct p_type as known from part), a as (select distinct case p_partkey % 4 when 0 then p_type when 1 then ' ' || lower(p_type) when 2 then p_type || '-2' else substr(p_type, 1, 3 + p_size % 6) end as name from part), f as (select name, known, case when known = name then 1 when lower(known) = lower(trim(name)) then 2 else 3 end as tier from a join k on contains(lower(known), lower(trim(name)))), g as (select name, tier, min(known) as known, count(*) as n from f group by 1, 2), h as (select name, arg_min(known, tier) as known from g where tier < 3 or n = 1 group by 1) select a.name, h.known from a left join h on a.name = h.name")
 def resolve_names(spark, d):
     p = table(spark, d, "part")
@@ -245,15 +230,16 @@ def value_recode(spark, d):
     return taxonomy.recoded(table(spark, d, "events").select("event_id", F.col("event_type").alias("kind")), "kind", labels)
 
 
-@query_of("with m as (select conv_id, list(text order by turn) as u from conversations where role = 'user' and text is not null group by 1) select conv_id, md5(case when len(u) = 1 then (case when contains(u[1], chr(10)) then null else substr(u[1], 1, length(u[1]) // 2) end) else array_to_string(u[1:len(u) // 2], '|') end) as first, md5(case when len(u) = 1 then (case when contains(u[1], chr(10)) then null else substr(u[1], length(u[1]) // 2 + 1) end) else array_to_string(u[len(u) // 2 + 1:], '|') end) as second from m")
+@query_of("""with m as (select conv_id, coalesce(list(text order by turn) filter (role = 'user'), []::varchar[]) as u from conversations where text is not null group by 1),
+l as (select *, regexp_extract_all(u[1], '[^\\n]*\\n|[^\\n]+') as l from m),
+c as (select *, case when len(u) <> 1 then null when len(l) <= 1 then length(u[1]) // 2 else length(array_to_string(l[1:len(l) // 2], '')) end as cut from l)
+select conv_id, md5(case when len(u) = 1 then substr(u[1], 1, cut) else array_to_string(u[1:len(u) // 2], '|') end) as first, md5(case when len(u) = 1 then substr(u[1], cut + 1) else array_to_string(u[len(u) // 2 + 1:], '|') end) as second from c""")
 def chat_halves(spark, d):
-    """The user's half of each half of a conversation; single messages of several lines are left to the unit test."""
+    """The user's half of each half of a conversation: of its messages, of a single message's lines, or of a single line."""
     rows = table(spark, d, "conversations").filter("text is not null")
     m = rows.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.struct(x.role.alias("role"), x.text.alias("content"))).alias("m"))
     users = lambda c: F.transform(F.filter(c, lambda x: x.role == "user"), lambda x: x.content)
-    m = m.filter(F.size(users(F.col("m"))) > 0)
-    lines = (F.size(users(F.col("m"))) == 1) & F.get(users(F.col("m")), F.lit(0)).contains("\n")
-    return m.select("conv_id", *(F.when(~lines, F.md5(F.array_join(users(h), "|"))).alias(n) for h, n in zip(prompts.halves(F.col("m")), ("first", "second"), strict=True)))
+    return m.select("conv_id", *(F.md5(F.array_join(users(h), "|")).alias(n) for h, n in zip(prompts.halves(F.col("m")), ("first", "second"), strict=True)))
 
 
 @query_of("with p as (select p_partkey, case p_partkey % 4 when 0 then './' || p_brand || '.mzn' when 1 then '/root/probs/' || p_brand || '.mzn' when 2 then 'x/y/' || p_brand || '.mzn' else './none' || p_partkey || '.mzn' end as script from part), f as (select '/root/probs/' || p_brand || '.mzn' as path, min(p_name) as text from part group by 1) select p_partkey, case when p_partkey % 4 < 3 then f.path end as path, case p_partkey % 4 when 0 then f.text when 3 then '[Error reading ' || script || ': no such file]' else script end as content from p left join f on f.path = '/root/probs/' || regexp_extract(script, '([^/]*)$', 1)")

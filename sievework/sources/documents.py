@@ -151,3 +151,26 @@ def variant_of(file: Column) -> dict[str, Column]:
     from sievework.functions.text import temperature
 
     return {"variant": F.regexp_replace(F.regexp_replace(file, r"\.json$", ""), r"_?T\d+(?:[p.]\d+)?", ""), "temperature": temperature(file)}
+
+
+def first_existing(spark: SparkSession, *paths: str | None) -> str | None:
+    """The first of several paths that is there, asked of the file system that each path names; null if none is."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        if path:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            if at.getFileSystem(conf).exists(at):
+                return path
+    return None
+
+
+def optional_map(spark: SparkSession, *paths: str | None) -> DataFrame | None:
+    """The entries (key, value) of the first path that is there; null if none is, or if it holds no JSON object.
+
+    The first path that exists counts even if it can't be read: the others aren't tried.
+    """
+    if (path := first_existing(spark, *paths)) is None:
+        return None
+    text = json_files(spark, path)
+    valid = text.filter((F.substring(strip(F.col("text")), 1, 1) == "{") & F.try_parse_json("text").isNotNull())
+    return flat_map(text) if valid.head(1) else None

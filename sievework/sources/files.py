@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.operators.taxonomy import filled
 from sievework.shipping import ship
 
+#: Delimiters of CSV files, the likeliest first.
+DELIMITERS = [",", ";", "\t", "|"]
 RESULT_COLUMNS = ["problem", "instance", "solver", "status", "time", "objective", "score", "score_incomplete", "score_area"]
 
 
@@ -19,10 +22,49 @@ def csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=schema, recursiveFileLookup=True, pathGlobFilter="*.csv")
 
 
-def csv_cells(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
-    """All cells as text, headers among them, with the file that each row is from; rows keep their columns' places."""
-    raw = spark.read.csv(path, header=False, inferSchema=False, sep=delimiter, recursiveFileLookup=True, pathGlobFilter="*.csv", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    return raw.withColumn("file", F.col("_metadata.file_path"))
+def csv_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file and value of every line of the .csv files in a folder and the folders in it; bytes that are no UTF-8 are replaced."""
+    raw = spark.read.text(path, recursiveFileLookup=True, pathGlobFilter="*.[cC][sS][vV]")
+    return raw.select(F.col("_metadata.file_path").alias("file"), F.make_valid_utf8("value").alias("value"))
+
+
+def dialects(lines: DataFrame) -> DataFrame:
+    """file and delimiter: of the candidates that which splits the largest share of the file's lines into the same number of cells.
+
+    Of equal shares the one with more cells counts, then the first candidate; a file that none splits has a comma. What stands
+    in quotes and empty lines are left out. Every line counts, in one pass with partial sums.
+    """
+    bare = F.regexp_replace("value", '"(?:[^"]|"")*"', "")
+    count = lambda d: F.char_length(bare) - F.char_length(F.replace(bare, F.lit(d)))
+    tried = F.array(*(F.struct(F.lit(-k).alias("rank"), F.lit(d).alias("delimiter"), count(d).alias("n")) for k, d in enumerate(DELIMITERS)))
+    found = lines.filter(F.trim("value") != "").select("file", F.explode(tried).alias("t")).groupBy("file", "t").agg(F.count("*").alias("c"))
+    agree = found.groupBy("file", "t.rank", "t.delimiter").agg(F.max(F.when(F.col("t.n") > 0, F.struct("c", "t.n"))).alias("best"), F.sum("c").alias("lines"))
+    share = F.coalesce(F.col("best.c") / F.col("lines"), F.lit(0.0))
+    return agree.groupBy("file").agg(F.max_by("delimiter", F.struct(share, F.coalesce("best.n", F.lit(0)), "rank")).alias("delimiter"))
+
+
+def cells(line: Column, delimiter: Column) -> Column:
+    """The cells of a line: split at delimiters outside quotes; quotes around a cell go, doubled ones inside it are one. None for an empty line."""
+    d = F.concat(F.lit("\\Q"), delimiter, F.lit("\\E"))
+    each = F.concat(d, F.lit('("(?:[^"]|"")*"|(?:(?!'), d, F.lit(").)*)"))
+    found = F.regexp_extract_all(F.concat(delimiter, line), each, F.lit(1))
+    quoted = lambda x: (F.char_length(x) > 1) & x.startswith('"') & x.endswith('"')
+    plain = F.transform(found, lambda x: F.when(quoted(x), F.replace(F.substring(x, F.lit(2), F.char_length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x))
+    return F.when(line == "", F.array().cast("array<string>")).otherwise(plain)
+
+
+def joined(parts: Column, delimiter: Column) -> Column:
+    """Cells as a line again; those with a delimiter or a quote in quotes."""
+    quote = lambda x: F.when(x.contains(delimiter) | x.contains('"'), F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(x)
+    return F.aggregate(F.transform(parts, quote), F.lit(None).cast("string"), lambda s, x: F.coalesce(F.concat(s, delimiter, x), x), lambda s: F.coalesce(s, F.lit("")))
+
+
+def csv_cells(lines: DataFrame) -> DataFrame:
+    """file, delimiter and cells of each line (file, value), each file by its own delimiter: headers are lines like others.
+
+    The delimiters, a row a file, are joined to the lines. A line end inside quotes ends the line.
+    """
+    return lines.join(dialects(lines), "file", "left").withColumn("delimiter", F.coalesce("delimiter", F.lit(DELIMITERS[0]))).select("file", "delimiter", cells(F.col("value"), F.col("delimiter")).alias("cells"))
 
 
 def model_files(spark: SparkSession, path: str) -> DataFrame:
@@ -40,6 +82,16 @@ def primary_models(files: DataFrame) -> DataFrame:
     return files.filter("kind = 'model'").groupBy("folder").agg(F.min_by("file", F.struct(own, F.col("file"))).alias("file"))
 
 
+#: Numeric character references of more digits than the last code point has, and zeros in front of others.
+TOO_LARGE = re.compile(r"&#(?:0*[1-9][0-9]{7,}|[xX]0*[1-9A-Fa-f][0-9A-Fa-f]{6,});?")
+ZEROS = re.compile(r"(&#[xX]?)0+(?=[0-9A-Fa-f])")
+
+
+def short_references(html: str) -> str:
+    """A page whose numeric references are all short: those of no character become the replacement character, as when decoded."""
+    return ZEROS.sub(r"\1", TOO_LARGE.sub("\ufffd", html)) if "&#" in html else html
+
+
 class _Cells(HTMLParser):
     """Texts of the cells of each row of each table body."""
 
@@ -73,7 +125,7 @@ def table_rows(pages: DataFrame) -> DataFrame:
             out = []
             for url, html in zip(pdf["url"], pdf["html"], strict=True):
                 p = _Cells()
-                p.feed(html or "")
+                p.feed(short_references(html or ""))
                 p.close()
                 out += [(url, i, c) for i, c in enumerate(p.rows) if c]
             yield pd.DataFrame(out, columns=["url", "row", "cells"])

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sievework.functions.text import decimals
+from sievework.sources.files import csv_cells, csv_lines, joined
 
 
 def csv(df: DataFrame, path: str, single: bool = True, mode: str = "errorifexists") -> None:
@@ -53,20 +56,32 @@ def sorted_map(entries: DataFrame) -> DataFrame:
     return entries.agg(F.to_json(F.map_from_entries(rows)).alias("value"))
 
 
-def shortened(cells: DataFrame, places: int = 3) -> DataFrame:
-    """Cells with their decimals cut to so many places; the file's column stays."""
-    return cells.select(*(decimals(F.col(c), places).alias(c) if c != "file" else F.col(c) for c in cells.columns))
+def shortened(rows: DataFrame, places: int = 3) -> DataFrame:
+    """Rows with the decimals of their ``cells`` cut to so many places; other columns stay."""
+    return rows.withColumn("cells", F.transform("cells", lambda c: decimals(c, places)))
+
+
+class Copied(NamedTuple):
+    """Where a copy lies, and how many files were read and lines written."""
+
+    path: str
+    files: int
+    rows: int
 
 
-def short_copy(spark: SparkSession, path: str, places: int = 3, overwrite: bool = False) -> str:
-    """A folder of CSV files mirrored as NAME_short, a folder below it for each file; an error if it exists, unless ``overwrite``."""
-    from sievework.sources.files import csv_cells
+def short_copy(spark: SparkSession, path: str, places: int = 3, overwrite: bool = False) -> Copied:
+    """A folder of CSV files mirrored as NAME_short, a folder below it for each file, by each file's own delimiter.
 
+    An error if it exists, unless ``overwrite``. The lines are counted by the job that writes them, as they pass; the files
+    are those of the listing, empty ones included.
+    """
     out = path.rstrip("/") + "_short"
-    cells = shortened(csv_cells(spark, path), places)
-    part = F.regexp_extract("file", r"([^/]+)\.csv$", 1).alias("name")
-    cells.select(part, *(c for c in cells.columns if c != "file")).write.mode("overwrite" if overwrite else "errorifexists").partitionBy("name").csv(out)
-    return out
+    lines = csv_lines(spark, path)
+    seen = Observation()
+    rows = shortened(csv_cells(lines), places).observe(seen, F.count("*").alias("rows"))
+    name = F.regexp_extract("file", r"(?i)([^/]+)\.csv$", 1).alias("name")
+    rows.select(name, joined(F.col("cells"), F.col("delimiter")).alias("value")).write.mode("overwrite" if overwrite else "errorifexists").partitionBy("name").text(out)
+    return Copied(out, len(lines.inputFiles()), seen.get["rows"])
 
 
 def unification_report(groups: DataFrame) -> DataFrame:

@@ -75,7 +75,7 @@ def test_folders_and_short_copies(spark, tmp_path):
     sub = tmp_path / "csv" / "deep"
     sub.mkdir(parents=True)
     (sub / "r.csv").write_text("name,v\nx,1.23456\n")
-    out = sinks.short_copy(spark, str(tmp_path / "csv"))
+    out = sinks.short_copy(spark, str(tmp_path / "csv")).path
     assert sorted(r._c1 for r in spark.read.csv(out).collect()) == ["1.234", "v"]
     with pytest.raises(Exception):
         sinks.short_copy(spark, str(tmp_path / "csv"))

@@ -120,5 +120,3 @@ def test_arrays(spark):
     assert [(r.feature, r.value) for r in arrays.features(df, ["a", "b"]).collect()] == [("a", 1.0), ("b", None)]
     with pytest.raises(Exception, match="expected 3 values"):
         arrays.features(df, ["a", "b", "c"]).collect()
-    text = spark.createDataFrame([("var int: x :: is_defined_var :: output(f(1,(2))) = 3;",)], "t string")
-    assert text.select(arrays.without_annotations(F.col("t"))).first()[0] == "var int: x = 3;"
