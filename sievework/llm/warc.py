@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from sievework.llm.shared import Scratch
 
 MAGIC = b"WARC/1.0\r\n"
+#: How a header line begins.
+FIELD = re.compile(rb"[A-Za-z0-9!#$%&'*+.^_`|~-]{1,200}:")
 #: Payloads below this many bytes are always stored in full.
 LEAST_REVISIT = 100
 RANGE_BYTES = 16 << 20
@@ -95,12 +97,19 @@ def _open(file: str):
     return where.open_input_file(path)
 
 
+def _length(value: bytes) -> int | None:
+    """The number of bytes that a header field names; None for other texts and for more digits than any file's size has."""
+    digits = value.lstrip(b"0") or value[-1:]
+    return int(digits) if digits.isdigit() and len(digits) < 19 else None
+
+
 class _Bytes:
     """A byte range of a file and, on demand, bytes beyond it."""
 
     def __init__(self, source, start: int, stop: int):
         self.source, self.start, self.stop = source, start, stop
         self.data = source.read_at(stop - start + len(MAGIC) - 1, start)
+        self.block: tuple | None = None  # first line, end, the last line with a length, that length
 
     def at(self, offset: int, n: int) -> bytes:
         i = offset - self.start
@@ -108,19 +117,48 @@ class _Bytes:
             return self.data[i : i + n]
         return self.source.read_at(n, offset)
 
-    def header(self, offset: int) -> tuple[int, dict] | None:
-        """Bytes of the header block at ``offset``, and its fields; None if there is no well-formed one."""
-        n = 1024
-        while True:
-            raw = self.at(offset, n)
-            if not raw.startswith(MAGIC):
-                return None
-            if (end := raw.find(b"\r\n\r\n")) >= 0:
-                fields = dict(line.partition(b": ")[::2] for line in raw[len(MAGIC) : end].split(b"\r\n"))
-                return (end + 4, fields) if fields.get(b"Content-Length", b"").isdigit() else None
+    def line(self, offset: int, n: int = 1024) -> bytes | None:
+        """The header line at ``offset`` without its end, empty at the end of a block; None if none is there.
+
+        What doesn't begin like one is told from its first bytes, however far away the next line's end is.
+        """
+        if not (raw := self.at(offset, n)).startswith(b"\r\n") and not FIELD.match(raw):
+            return None
+        while (end := raw.find(b"\r\n")) < 0:
             if len(raw) < n:
                 return None
-            n *= 2
+            n *= 4
+            raw = self.at(offset, n)
+        return raw[:end]
+
+    def header(self, offset: int) -> tuple[int, dict] | None:
+        """Bytes of the header block at ``offset``, and its fields; None if there is no well-formed one."""
+        if self.at(offset, len(MAGIC)) != MAGIC:
+            return None
+        place, fields = offset + len(MAGIC), {}
+        while line := self.line(place):
+            name, _, value = line.partition(b":")
+            fields[name] = value.removeprefix(b" ")
+            place += len(line) + 2
+        return (place + 2 - offset, fields) if line is not None and _length(fields.get(b"Content-Length", b"")) is not None else None
+
+    def after(self, offset: int) -> int | None:
+        """Where the record at ``offset``, a place of the magic, ends; None if no header block is there.
+
+        Magic may end many lines of one block: the lines are read once for all of them, as each sees those below it.
+        """
+        place = offset + len(MAGIC)
+        if not self.block or place > self.block[1] or place < self.block[0]:
+            start, last, length = place, -1, None
+            while line := self.line(place):
+                name, _, value = line.partition(b":")
+                if name == b"Content-Length":
+                    last, length = place, _length(value.removeprefix(b" "))
+                place += len(line) + 2
+            self.block = (start, place, last, length if line is not None else None)
+            place = start
+        _, end, last, length = self.block
+        return None if length is None or last < place else end + 2 + length + 4
 
 
 def _scan(batches):
@@ -132,10 +170,8 @@ def _scan(batches):
                 data, step, i = _Bytes(source, r["start"], stop), {}, -1
                 while (i := data.data.find(MAGIC, i + 1)) >= 0:
                     offset = r["start"] + i
-                    if offset < stop and (h := data.header(offset)):
-                        after = offset + h[0] + int(h[1][b"Content-Length"]) + 4
-                        if after <= r["size"]:
-                            step[offset] = after
+                    if offset < stop and (after := data.after(offset)) is not None and after <= r["size"]:
+                        step[offset] = after
             for offset in sorted(step, reverse=True):  # successors lie behind, so they are contracted first
                 after = step[offset]
                 if after < stop:
@@ -166,7 +202,7 @@ READ_SCHEMA = "file string, record_offset long, page_id long, url string, record
 
 
 def _page(value: bytes | None) -> int | None:
-    digits = re.fullmatch(rb"<urn:page:(-?\d+)>", value or b"")
+    digits = re.fullmatch(rb"<urn:page:(-?[0-9]{1,19})>", value or b"")
     return int(digits[1]) if digits else None
 
 
@@ -180,7 +216,7 @@ def _follow(batches, payloads: bool, whole_files: bool):
             with _open(r["file"]) as source:
                 data, offset = _Bytes(source, r["start"], stop), r["entry"]
                 while offset < stop and (h := data.header(offset)):
-                    n, f = int(h[1][b"Content-Length"]), h[1]
+                    n, f = _length(h[1][b"Content-Length"]), h[1]
                     body = data.at(offset + h[0], n)
                     kind = f[b"WARC-Type"].decode()
                     said = f[b"WARC-Payload-Digest"].decode().rpartition(":")[2]

@@ -1,6 +1,7 @@
 """Round trips through archives, with payloads that hold whole records of their own."""
 
 import hashlib
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -63,3 +64,15 @@ def test_broken_chains_raise_if_asked(spark, tmp_path):
     (tmp_path / "a.warc").write_bytes((good + "garbage" + good).encode())
     with pytest.raises(Exception, match="the record chain ends"):
         warc.read(spark, f"file://{tmp_path}", Scratch(spark, "test-raise"), 100, whole_files=True).collect()
+
+
+def test_magic_upon_magic(spark, monkeypatch):
+    """Payloads full of the record magic, at the ends of lines that look like header lines too, are read in linear time."""
+    magic = "WARC/1.0\r\n"
+    texts = [magic * 100_000, ("A: " + magic) * 80_000, ("A: " + magic) * 50_000 + "Content-Length: 3\r\n\r\n", magic + "A" * 1_000_000, magic + "Content-Length: " + "9" * 5000 + "\r\n\r\n", (magic + "Content-Length: 0000000000000000000000000000002\r\n\r\n") * 3]
+    df = spark.createDataFrame([(k, " url with ends ", t) for k, t in enumerate(texts)], "page_id long, url string, html string").coalesce(1)
+    began = time.time()
+    got = {r.page_id: r.payload_digest for r in warc.round_trip(df).collect()}
+    assert got == {k: hashlib.sha256(t.encode()).hexdigest() for k, t in enumerate(texts)}
+    assert time.time() - began < 30
+    assert warc._length(b"0" * 5000 + b"12") == 12 and warc._length(b"0") == 0 and warc._length(b"9" * 5000) is None and warc._length(b"") is None
