@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from sievework.shipping import ship
+from sievework.sources.files import short_references
 
 #: Tags that begin and end a block; fixed values of the HTML standard's flow content.
 BLOCK = set("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
@@ -112,7 +113,7 @@ def blocks(page: str) -> list[tuple[str, list[str]]]:
     def end() -> None:
         nonlocal linked, chars
         if pieces:
-            text = " ".join(entities.unescape("".join(pieces)).split())
+            text = " ".join(entities.unescape(short_references("".join(pieces))).split())
             if text:
                 found.append((text, _features(text, stack[-1] if stack else NOWHERE, linked / max(1, chars))))
             pieces.clear()

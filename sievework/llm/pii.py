@@ -58,7 +58,7 @@ def _digits(s: str) -> str:
 
 def _passes(kind: str, s: str) -> bool:
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in s.split("."))
+        return all(len(d := p.lstrip("0")) <= 3 and int(d or 0) <= 255 for p in s.split("."))
     if kind == "card":
         return 16 <= len(d := _digits(s)) <= 19 and luhn(d)
     if kind == "phone":

@@ -68,3 +68,8 @@ def test_broken_pages_take_linear_time(chain):
         html.main_text(page, chain)
     assert time.process_time() - began < 60
     assert [t for t, _ in html.blocks("<p title='a>b'>x</p><b c='>d</p><p>e")] == ["x", "d", "e"]
+
+
+def test_references_of_any_length():
+    page = f"<p>a&#{'9' * 5000};b&#x{'F' * 5000};c&#{'0' * 5000}65;d&#65;&#x42 e&amp;</p>"
+    assert [t for t, _ in html.blocks(page)] == ["a\ufffdb\ufffdcAdAB e&"]

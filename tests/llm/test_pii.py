@@ -97,3 +97,10 @@ def test_long_runs_take_linear_time(model):
     for text in ("1" * 1_000_000, "a" * 1_000_000 + "@", "1 " * 5_000):
         pii.spans(text, model)
     assert time.process_time() - began < 60
+
+
+def test_numbers_of_any_length():
+    for text in ["0" * 5000 + "1.1.1.1", "9" * 5000 + ".1.1.1", "1.2.3." + "0" * 6000, "+" + "1" * 9000]:
+        assert pii.base_spans(text) == [x for x in pii.base_spans(text) if x[0] == 1]
+        pii.spans(text, pii.train())
+    assert pii.base_spans("0" * 5000 + "1.1.1.1") == [(1, 0, 5007)]
