@@ -29,8 +29,8 @@ COMMON = 2e-5  # of the training tokens: a symbol of its own
 KNOWN = 2e-7  # its count is broadcast: 1 / KNOWN entries of 18 bytes at most
 CLASSES = 1024
 ANCHORS = 128
-#: Training cuts texts into stretches of so many tokens; scoring never does.
-STRETCH = 512
+#: Steps whose states are held at once while expected counts are added up.
+BLOCK = 512
 BATCH_TOKENS = 300_000
 #: Distinct tokens that a task counts before it hands them on.
 HELD = 400_000
@@ -225,33 +225,50 @@ def forward(seqs: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: n
     return back
 
 
-def expect(seqs: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: np.ndarray, sums: list[np.ndarray]) -> float:
-    """Baum-Welch: add the expected counts of first states, transitions and emissions to ``sums``; returns ln p of all."""
+def expect(seqs: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: np.ndarray, sums: list[np.ndarray], block: int = BLOCK) -> float:
+    """Baum-Welch: add the expected counts of first states, transitions and emissions to ``sums``; returns ln p of all.
+
+    Sequences are worked on whole. The forward pass keeps what stands before every ``block`` steps; the backward pass goes
+    block by block and has the steps inside it made again, so that memory grows with a block and the number of blocks.
+    """
     flat, at, reach, _ = _steps(seqs)
-    ahead, scale, out = [], [], 0.0
-    for t, n in enumerate(reach):
-        a = emit[flat[at[:n] + t]] * (ahead[-1][:n] @ move if t else start)
+
+    def step(t: int, before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        n = reach[t]
+        a = emit[flat[at[:n] + t]] * (before[:n] @ move if t else start)
         c = a.sum(1)
         a /= c[:, None]
-        ahead.append(a)
-        scale.append(c)
+        return a, c
+
+    marks, a, out = [], None, 0.0
+    for t in range(len(reach)):
+        if t % block == 0:
+            marks.append(a)
+        a, c = step(t, a)
         out += float(np.log(c).sum())
     later = None
-    states = [None] * len(reach)
-    for t in range(len(reach) - 1, -1, -1):
-        n = reach[t]
-        b = np.ones((n, len(start)), emit.dtype)
-        if later is not None:
-            m = len(later)
-            b[:m] = later @ move.T
-            sums[1] += ahead[t][:m].T.astype(np.float64) @ later * move
-        states[t] = ahead[t] * b
-        later = emit[flat[at[:n] + t]] * b / scale[t][:, None]
-    sums[0] += states[0].sum(0)
-    symbols = np.concatenate([flat[at[:n] + t] for t, n in enumerate(reach)])
-    each = np.concatenate(states)
-    for k in range(len(start)):
-        sums[2][:, k] += np.bincount(symbols, each[:, k], len(emit))
+    for low in range((len(marks) - 1) * block, -1, -block):
+        ahead, scale, a = [], [], marks.pop()
+        for t in range(low, min(low + block, len(reach))):
+            a, c = step(t, a)
+            ahead.append(a)
+            scale.append(c)
+        states = [None] * len(ahead)
+        for k in range(len(ahead) - 1, -1, -1):
+            t, n = low + k, reach[low + k]
+            b = np.ones((n, len(start)), emit.dtype)
+            if later is not None:
+                m = len(later)
+                b[:m] = later @ move.T
+                sums[1] += ahead[k][:m].T.astype(np.float64) @ later * move
+            states[k] = ahead[k] * b
+            later = emit[flat[at[:n] + t]] * b / scale[k][:, None]
+        if low == 0:
+            sums[0] += states[0].sum(0)
+        symbols = np.concatenate([flat[at[: reach[low + k]] + low + k] for k in range(len(states))])
+        each = np.concatenate(states)
+        for k in range(len(start)):
+            sums[2][:, k] += np.bincount(symbols, each[:, k], len(emit))
     return out
 
 
@@ -259,17 +276,19 @@ def _expect(batches, model, wide):
     start, move, emit = model.value
     sums = [np.zeros_like(start, np.float64), np.zeros_like(move, np.float64), np.zeros_like(emit, np.float64)]
     out = 0.0
-    parts, size = [], 0
+    # texts of like length go through their steps together
+    held: dict[int, list[np.ndarray]] = {}
+    size: dict[int, int] = {}
     for seqs, _ in _sequences(batches, wide):
         for s in seqs:
-            for i in range(0, len(s), STRETCH):
-                parts.append(s[i : i + STRETCH])
-                size += len(parts[-1])
-                if size > BATCH_TOKENS:
-                    out += expect(parts, start, move, emit, sums)
-                    parts, size = [], 0
-    if parts:
-        out += expect(parts, start, move, emit, sums)
+            kind = len(s).bit_length()
+            held.setdefault(kind, []).append(s)
+            size[kind] = size.get(kind, 0) + len(s)
+            if size[kind] > BATCH_TOKENS:
+                out += expect(held.pop(kind), start, move, emit, sums)
+                size[kind] = 0
+    for kind in sorted(held):
+        out += expect(held[kind], start, move, emit, sums)
     some = np.flatnonzero(sums[2].sum(1))
     ids = np.concatenate([some, -1 - np.arange(len(move)), [-1 - len(move), -2 - len(move)]]).astype(np.int32)
     rows = np.concatenate([sums[2][some], sums[1], [sums[0]], [np.full(len(start), out)]])

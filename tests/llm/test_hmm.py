@@ -81,3 +81,35 @@ def test_empty(spark):
     assert hmm.score(df.limit(0), Scratch(spark, "test-hmm")).count() == 0
     only_held = spark.createDataFrame([(i, "a b") for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2], "doc_id long, text string")
     assert all(r.train_tokens == 0 and r.base_score == 0 for r in hmm.score(only_held, Scratch(spark, "test-hmm")).collect())
+
+
+def plain_counts(seqs, start, move, emit):
+    """Expected counts of whole texts by logarithms of all sums."""
+    first, moves, emits, total = np.zeros(len(start)), np.zeros_like(move), np.zeros_like(emit), 0.0
+    for s in seqs:
+        fore, back = np.zeros((len(s), len(start))), np.zeros((len(s), len(start)))
+        fore[0] = np.log(start * emit[s[0]])
+        for t in range(1, len(s)):
+            fore[t] = np.logaddexp.reduce(fore[t - 1][:, None] + np.log(move), axis=0) + np.log(emit[s[t]])
+        for t in range(len(s) - 2, -1, -1):
+            back[t] = np.logaddexp.reduce(np.log(move) + np.log(emit[s[t + 1]]) + back[t + 1], axis=1)
+        all_ = np.logaddexp.reduce(fore[-1])
+        total += all_
+        first += np.exp(fore[0] + back[0] - all_)
+        for t in range(len(s)):
+            emits[s[t]] += np.exp(fore[t] + back[t] - all_)
+            if t:
+                moves += np.exp(fore[t - 1][:, None] + np.log(move) + np.log(emit[s[t]]) + back[t] - all_)
+    return [first, moves, emits], total
+
+
+@pytest.mark.parametrize("block", [1, 7, 512, 5000])
+def test_whole_texts_are_counted(block):
+    """Texts of up to 2,000 tokens, wherever the blocks end."""
+    start, move, emit = parameters(3, 6, 4)
+    r = np.random.default_rng(5)
+    seqs = [r.integers(0, 6, n) for n in (2000, 1, 512, 513, 30, 1024)]
+    want, total = plain_counts(seqs, start, move, emit)
+    sums = [np.zeros(3), np.zeros((3, 3)), np.zeros((6, 3))]
+    assert abs(hmm.expect(seqs, start, move, emit, sums, block) - total) < 1e-6
+    assert all(np.allclose(a, b, rtol=1e-8, atol=1e-8) for a, b in zip(sums, want, strict=True))
