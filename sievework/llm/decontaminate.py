@@ -235,10 +235,14 @@ def hits(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, text_col: str
     rare, longest = sc.broadcast(table_of(seeds)), items.agg(F.max(F.size("words"))).first()[0] or 0
     found = scratch.keep(docs.select("row_id", text_col).mapInArrow(partial(_passages, table=rare, text_col=text_col, reach=REACH * longest), PASSAGE), "passages")
     met = scratch.keep(found.select("row_id", "start", F.explode(F.arrays_zip("grams", "places")).alias("h")).select("row_id", "start", F.col("h.grams").alias("gram"), F.col("h.places").alias("place")), "met")
-    # the few grams that very many texts have are joined apart, unless many items have them too
-    shared = seeds.groupBy("gram").agg(F.count("*").alias("items"))
-    often = seeds.join(shared, "gram").select("gram", "item_id", F.when(F.col("items") <= 8, F.col("count")).otherwise(0).alias("n"))
-    pairs = split_join(met, often, ["gram"], hot_over(met.count())).groupBy("row_id", "start", "item_id").agg(F.collect_set("place").alias("places"))
+    # a gram of very many passages is dealt out in shares, and its items, however many, go to each share
+    hot = hot_over(met.count())
+    often = seeds.groupBy("gram").agg(F.max("count").alias("n")).filter(F.col("n") > hot)
+    often = F.broadcast(scratch.keep(often.select("gram", F.ceil(F.col("n") / hot).cast("int").alias("shares")), "often"))
+    one = F.lit(1)
+    dealt = met.join(often, "gram", "left").withColumn("share", F.pmod(F.xxhash64("row_id", "start", "place"), F.coalesce("shares", one)).cast("int")).drop("shares")
+    asked = seeds.join(often, "gram", "left").select("gram", "item_id", F.explode(F.sequence(F.lit(0), F.coalesce("shares", one) - 1)).alias("share"))
+    pairs = dealt.join(asked, ["gram", "share"]).groupBy("row_id", "start", "item_id").agg(F.collect_set("place").alias("places"))
     pairs = scratch.keep(pairs.join(found.select("row_id", "start", "words"), ["row_id", "start"]), "pairs")
     items = items.withColumnRenamed("words", "item_words").join(pairs.groupBy("item_id").agg(F.count("*").alias("n")), "item_id")
     pairs = split_join(pairs, items, ["item_id"], hot_over(pairs.count()))

@@ -86,3 +86,26 @@ def test_long_items(spark):
                 want[k, item] = share
     got = {(x.doc_id, x.item_id): x.score for x in dec.find(d, b, Scratch(spark, "test-dec")).collect()}
     assert got == want and len(want) >= 16
+
+
+def test_grams_of_many_items_and_most_texts(spark, monkeypatch):
+    """A stock phrase that 20 items and nearly all texts share is split among tasks, and what is found stays the same."""
+    r = random.Random(9)
+    words = ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(300)]
+    text = lambda n: [r.choice(words) for _ in range(n)]
+    stock = ["choose", "the", "right", "answer"]
+    items = {k: stock + text(6) for k in range(20)}
+    docs = [text(r.randint(0, 20)) + stock + text(r.randint(0, 20)) for _ in range(120)] + [text(9) + items[k] + text(4) for k in range(20)]
+    d = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(docs)], "doc_id long, text string")
+    b = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    ids = {w: k for k, w in enumerate([*words, *stock])}
+    want = set()
+    for k, w in enumerate(docs):
+        for item, x in items.items():
+            score, _ = dec.smith_waterman([np.array([ids[v] for v in x])], [np.array([ids[v] for v in w])])
+            if int(score[0]) / (2 * len(x)) >= dec.THRESHOLD:
+                want.add((k, item))
+    assert {(120 + k, k) for k in range(20)} <= want
+    for hot in (3, 10_000):
+        monkeypatch.setattr(dec, "hot_over", lambda rows, hot=hot: hot)
+        assert {(x.doc_id, x.item_id) for x in dec.find(d, b, Scratch(spark, "test-dec")).collect()} == want
