@@ -108,3 +108,15 @@ def features(rows: DataFrame, names: list[str], column: str = "values") -> DataF
     zipped = F.arrays_zip(F.array(*map(F.lit, names)).alias("feature"), fits.alias("value"))
     keys = [c for c in rows.columns if c != column]
     return rows.select(*keys, F.inline(zipped)).withColumn("value", F.col("value").try_cast("double"))
+
+
+def aligned(rows: DataFrame, key: str, order: str, columns: list[str], widths: list[int], last: str) -> DataFrame:
+    """key and text of each key's rows, in order, as lines of columns padded to their widths and a last one as it is, under a head and a rule.
+
+    A value longer than its column pushes the rest on. Lines are joined by a backslash and an n, as published reports have them.
+    """
+    pad = lambda c, n: F.when(F.char_length(c) < n, F.rpad(c, n, " ")).otherwise(c)
+    line = F.concat_ws(" ", *(pad(F.coalesce(F.col(c).cast("string"), F.lit("")), n) for c, n in zip(columns, widths, strict=True)), F.coalesce(F.col(last).cast("string"), F.lit("")))
+    head = " ".join([*(c.upper().ljust(n) for c, n in zip(columns, widths, strict=True)), last.upper()])
+    lines = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("l")))), lambda x: x.l)
+    return rows.groupBy(key).agg(F.array_join(F.concat(F.array(F.lit(head), F.lit("=" * (sum(widths) + 30))), lines), "\\n").alias("text"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sievework.functions.text import number
 from sievework.operators.scoring import restrict
 
 MODEL = ["provider", "model"]
@@ -130,3 +131,59 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     ends = ends.select(F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"), F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"))
     at = F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins) + 1
     return x.join(F.broadcast(ends)).groupBy(F.least(F.lit(bins), at).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+
+
+#: Names under which a table's measures are known, the first there counts; and names to sort by.
+MEASURES = {
+    "single_score": ["LLM_Top1_TotalScore", "SingleScore", "Top1TotalScore", "single_score"],
+    "parallel_score": ["LLM_TotalScore", "ParallelScore", "TotalScore", "parallel_score"],
+    "closed_gap": ["ClosedGap", "closed_gap"],
+}
+SORT_NAMES = {"TotalScore": "parallel_score", "ParallelScore": "parallel_score", "Parallel Score": "parallel_score", "Top1TotalScore": "single_score", "SingleScore": "single_score", "Single Score": "single_score", "ClosedGap": "closed_gap", "Closed Gap": "closed_gap"}
+
+
+def metric_table(single: DataFrame | None = None, parallel: DataFrame | None = None, gap: DataFrame | None = None, on: list[str] | None = None, provider: bool = False, fill: float | None = None, sort_by: str | None = None, ascending: bool = False) -> DataFrame | None:
+    """model, single_score, parallel_score and closed_gap of up to three tables, joined fully; null without any.
+
+    They are joined on ``on``, else on model_variant if one of them has it, else on provider and model; a table without the key, or
+    without its measure under any of the known names, raises. A missing table's measure is null. ``provider`` puts the
+    provider behind the model, both as text, None where null; ``fill`` is for scores that are missing, and turns texts that are no numbers into it. Sorting
+    takes the names of older tables too, nulls come last; an unknown name doesn't sort.
+    """
+    given = {m: t for m, t in zip(MEASURES, (single, parallel, gap), strict=True) if t is not None}
+    if not given:
+        return None
+    if on is None:
+        on = ["model_variant"] if any("model_variant" in t.columns for t in given.values()) else ["provider", "model"]
+    out = None
+    for measure, t in given.items():
+        name = next((n for n in MEASURES[measure] if n in t.columns), None)
+        if name is None or not set(on) <= set(t.columns):
+            raise KeyError(f"{measure}: needs {on} and one of {MEASURES[measure]}, has {t.columns}")
+        part = t.select(*on, F.col(name).alias(measure))
+        out = part if out is None else out.join(part, on, "full")
+    out = out.withColumns({m: F.lit(None).cast("double") for m in MEASURES if m not in given})
+    if on == ["model_variant"]:
+        out = out.withColumnRenamed("model_variant", "model")
+    if fill is not None:
+        number_ = {m: F.coalesce(F.col(m).try_cast("double"), F.lit(float(fill))) for m in ("single_score", "parallel_score")}
+        out = out.withColumns(number_)
+    if "model" not in out.columns:
+        out = out.withColumn("model", F.lit(None).cast("string"))
+    if provider and "provider" in out.columns:
+        text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
+        out = out.withColumn("model", F.concat(text("model"), F.lit(" ("), text("provider"), F.lit(")")))
+    out = out.select("model", *MEASURES)
+    by = SORT_NAMES.get(sort_by, sort_by)
+    return out.orderBy(F.asc_nulls_last(by) if ascending else F.desc_nulls_last(by)) if by in out.columns else out
+
+
+def metric_max(df: DataFrame, column: str) -> DataFrame:
+    """One row, value: the largest number of a column of any type, texts that are none left out; null without one or without the column."""
+    c = number(F.col(column).cast("string")) if column in df.columns else F.lit(None).cast("double")
+    return df.agg(F.max(c).alias("value"))
+
+
+def complete(df: DataFrame, subset: list[str]) -> DataFrame:
+    """Rows without a null, or NaN, in the columns of ``subset`` that there are."""
+    return df.dropna(subset=[c for c in subset if c in df.columns]) if any(c in df.columns for c in subset) else df

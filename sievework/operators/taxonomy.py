@@ -119,3 +119,9 @@ def recoded(df: DataFrame, column: str, labels: DataFrame) -> DataFrame:
     """``column`` with its values replaced by their labels (value, label; a row a value); values without a label stay."""
     found = labels.select(F.col("value").alias(column), "label")
     return df.join(found, column, "left").withColumn(column, F.coalesce("label", column)).drop("label").select(*df.columns)
+
+
+def category_report(found: DataFrame) -> DataFrame:
+    """category, names and several of ``categorized`` rows (name, category): how many names each has, and how many of these have others too."""
+    per = found.distinct().groupBy("name").agg(F.count("*").alias("n"))
+    return found.distinct().join(per, "name").groupBy("category").agg(F.count("*").alias("names"), F.count_if(F.col("n") > 1).alias("several"))
