@@ -22,11 +22,21 @@ def folder(spark: SparkSession) -> str:
     return _own[app]
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared one, which goes when the driver ends: what is returned lazily can be read until then."""
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(at)
+    files.deleteOnExit(at)
+    return path
+
+
 class Rounds:
-    """Tables of one run; ``close`` deletes those that its result doesn't read."""
+    """Tables of one run; ``close`` deletes those that its result doesn't read, the rest goes when the driver ends."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.root, self.count, self.paths = spark, f"{folder(spark)}/rounds-{uuid.uuid4().hex}", 0, set()
+        self.spark, self.root, self.count, self.paths = spark, new_folder(spark, "rounds"), 0, set()
 
     def kept(self, df: DataFrame) -> DataFrame:
         self.count += 1
