@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,6 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievework.rounds import new_folder
 from sievework.shipping import ship
 
 #: Characters that one vectorised step works on at most, but for a single longer text.
@@ -21,31 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where it is unset and all tasks run in this process, as in tests, a new one.
-
-    On a cluster without that setting this raises: a folder of one machine would be another one on each executor.
-    """
-    if base := spark.conf.get("spark.checkpoint.dir", None):
-        return base
-    app = spark.sparkContext.applicationId
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="sievework-")
-    return _own[app]
-
-
 class Scratch:
-    """Tables written to the shared folder, which cuts lineage and survives lost executors."""
+    """Tables written to the shared folder, which cuts lineage and survives lost executors; they go when the driver ends, or by ``clear``."""
 
     def __init__(self, spark: SparkSession, name: str):
         ship(spark)
-        self.spark, self.root, self.count = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
-        self.tables: dict[str, str] = {}
+        self.spark, self.root, self.count = spark, new_folder(spark, name), 0
 
     def path(self, name: str = "t") -> str:
         self.count += 1
@@ -59,13 +40,13 @@ class Scratch:
         return kept
 
     def keep_by(self, df: DataFrame, key: str, name: str = "t") -> DataFrame:
-        """Keep ``df`` in buckets of ``key``: later joins on it move the other side alone."""
+        """Keep ``df`` in buckets of ``key``: later joins on it move the other side alone. The catalog has it for a moment only."""
         path, n = self.path(name), partitions(self.spark)
         table = f"sievework_{name}_{uuid.uuid4().hex}"
         writer = df.repartition(n, key).write.option("compression", "zstd").option("path", path)
         writer.bucketBy(n, key).saveAsTable(table)
-        self.tables[path] = table
         kept = self.spark.table(table)
+        self.spark.sql(f"drop table {table}")  # its files stay, and the frame knows where they are
         kept._scratch_path = path
         return kept
 
@@ -84,8 +65,6 @@ class Scratch:
         self.spark._jvm.System.gc()
 
     def remove(self, path: str) -> None:
-        for p in [p for p in self.tables if p.startswith(path)]:
-            self.spark.sql(f"drop table if exists {self.tables.pop(p)}")
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(conf).delete(at, True)
