@@ -60,11 +60,17 @@ def after_bracket(c) -> Column:
     return strip(F.regexp_extract(c, r"(?s)\[[^\]]+\](.*)$", 1))
 
 
-def pairs(c) -> Column:
-    """Every 'name: [list]' of a text, as structs of name and list; a name is what stands before the colon in its line."""
-    pattern = F.lit(r"([^:\n]+)\s*:\s*\[([^\]]+)\]")
+def pairs(c, reasoned: bool = False) -> Column:
+    """Every 'name: [list]' of a text, as structs of name and list; a name is what stands before the colon in its line.
+
+    ``reasoned``: with tail, the rest of the line behind the list, or the next line with a text if that is blank, null if there is none.
+    """
+    pattern = F.lit(r"([^:\n]+)\s*:\s*\[([^\]]+)\]" + (r"\s*(.*)" if reasoned else ""))
     found = F.transform(F.regexp_extract_all(c, pattern, F.lit(1)), strip)
-    return F.arrays_zip(found.alias("name"), F.regexp_extract_all(c, pattern, F.lit(2)).alias("list"))
+    parts = [found.alias("name"), F.regexp_extract_all(c, pattern, F.lit(2)).alias("list")]
+    if reasoned:
+        parts.append(F.transform(F.regexp_extract_all(c, pattern, F.lit(3)), lambda t: F.nullif(strip(t), F.lit(""))).alias("tail"))
+    return F.arrays_zip(*parts)
 
 
 def brackets(c) -> Column:

@@ -71,28 +71,29 @@ def listed(c: Column) -> Column:
     return F.transform(F.split(c, ","), strip)
 
 
-def responses(df: DataFrame, column: str = "response") -> DataFrame:
-    """Rows of every 'name: [list]' in a response: name, picks; of a name given twice the last counts."""
-    every = df.select(*[c for c in df.columns if c != column], F.posexplode(pairs(F.col(column))).alias("pos", "pair"))
+def responses(df: DataFrame, column: str = "response", reasoned: bool = False) -> DataFrame:
+    """Rows of every 'name: [list]' in a response: name, picks, and ``reasoned`` reasoning; of a name given twice the last counts."""
+    every = df.select(*[c for c in df.columns if c != column], F.posexplode(pairs(F.col(column), reasoned)).alias("pos", "pair"))
     keys = [c for c in df.columns if c != column]
-    last = every.groupBy(*keys, F.col("pair.name").alias("name")).agg(F.max_by("pair.list", "pos").alias("list"))
-    return last.withColumn("picks", listed(F.col("list"))).drop("list")
+    last = every.groupBy(*keys, F.col("pair.name").alias("name")).agg(F.max_by("pair", "pos").alias("p"))
+    return last.select(*keys, "name", listed(F.col("p.list")).alias("picks"), *([F.col("p.tail").alias("reasoning")] if reasoned else []))
 
 
-def parsed(chats: DataFrame, response: str = "response", asked: str = "asked") -> DataFrame:
-    """Rows of a chat's answer: name, picks, error.
+def parsed(chats: DataFrame, response: str = "response", asked: str = "asked", reasoned: bool = False) -> DataFrame:
+    """Rows of a chat's answer: name, picks, error, and ``reasoned`` reasoning, the text behind a named list.
 
     Named lists count, the last of each name. A response without any gives its n-th bracket to the n-th message of ``asked``, the
     texts of the user in order, named by their first line; a message beyond the last bracket has null picks and an error.
     Messages of one name in a chat share a row, that of the last.
     """
     keys = [c for c in chats.columns if c not in (response, asked)]
-    named = F.transform(pairs(F.col(response)), lambda p: F.struct(p["name"].alias("name"), p["list"].alias("list")))
+    none = F.lit(None).cast("string")
+    named = F.transform(pairs(F.col(response), reasoned), lambda p: F.struct(p["name"].alias("name"), p["list"].alias("list"), (p["tail"] if reasoned else none).alias("tail")))
     first_line = lambda m: strip(F.replace(F.substring_index(m, "\n", 1), F.lit("Instance:"), F.lit("")))
-    by_place = F.transform(F.col(asked), lambda m, i: F.struct(first_line(m).alias("name"), F.get(brackets(F.col(response)), i).alias("list")))
+    by_place = F.transform(F.col(asked), lambda m, i: F.struct(first_line(m).alias("name"), F.get(brackets(F.col(response)), i).alias("list"), none.alias("tail")))
     every = chats.select(*keys, F.posexplode(F.when(F.size(named) > 0, named).otherwise(by_place)).alias("pos", "e"))
-    last = every.groupBy(*keys, F.col("e.name").alias("name")).agg(F.max_by(F.struct("e.list"), "pos").alias("e"))
-    return last.select(*keys, "name", listed(F.col("e.list")).alias("picks"), F.when(F.col("e.list").isNull(), "no parsed response").alias("error"))
+    last = every.groupBy(*keys, F.col("e.name").alias("name")).agg(F.max_by(F.struct("e.list", "e.tail"), "pos").alias("e"))
+    return last.select(*keys, "name", listed(F.col("e.list")).alias("picks"), F.when(F.col("e.list").isNull(), "no parsed response").alias("error"), *([F.col("e.tail").alias("reasoning")] if reasoned else []))
 
 
 def _pack(batches, budget):

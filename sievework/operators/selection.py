@@ -84,6 +84,11 @@ def performance_table(top3: DataFrame, first: DataFrame, gap: DataFrame, fill: b
     return out.fillna(0.0, ["parallel_score", "single_score"]) if fill else out
 
 
+def variant_names(df: DataFrame, label: str) -> DataFrame:
+    """Add model_variant = 'model (label)' where the label is a column."""
+    return df.withColumn("model_variant", F.concat("model", F.lit(" ("), label, F.lit(")")))
+
+
 def variants(*labelled: tuple[str, DataFrame]) -> DataFrame:
     """UNION ALL by name, with missing columns null, and model_variant = 'model (label)'."""
     out = None

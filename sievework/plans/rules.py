@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sievework.functions import text as tx
-from sievework.operators import arrays, attempts, taxonomy, templates
+from sievework.operators import arrays, attempts, prompts, taxonomy, templates
 from sievework.operators.adapters import table
 from sievework.plans.text import MESSAGES, POLICY
 from sievework.sources import docs, files
@@ -161,3 +161,16 @@ def prompt_modes(spark, d):
 def prompt_dry_run(spark, d):
     """What a run would send each model, without sending it."""
     return templates.dry_run(_tasks(spark, d), templates.segments(spark), "summary", ["model"])
+
+
+@query_of("with l as (select user_id, event_type || ': [' || string_agg('e' || event_id, ', ' order by event_id) || ']' as line, event_type, count(*) as n from events group by 1, 3) select user_id, event_type as name, n, case when n % 3 = 0 then 'since ' || n || ' were there: [so]' when n % 3 = 1 and event_type <> (select max(event_type) from events) then 'next line' end as reasoning from l")
+def response_reasons(spark, d):
+    """Named lists of answers with the reasons behind them: in the line, in the line below, or none."""
+    e = table(spark, d, "events")
+    lines = e.groupBy("user_id", "event_type").agg(F.sort_array(F.collect_list("event_id")).alias("l"))
+    n, last = F.size("l"), e.agg(F.max("event_type").alias("last"))
+    line = F.concat("event_type", F.lit(": ["), F.array_join(F.transform("l", lambda x: F.concat(F.lit("e"), x)), ", "), F.lit("]"))
+    tail = F.when(n % 3 == 0, F.concat(F.lit(" since "), n, F.lit(" were there: [so] "))).when((n % 3 == 1) & (F.col("event_type") != F.col("last")), "  \n  next line").otherwise("\n--")
+    lines = lines.join(F.broadcast(last)).select("user_id", F.concat(line, tail).alias("response"))
+    found = prompts.responses(lines, reasoned=True)
+    return found.select("user_id", "name", F.size("picks").cast("long").alias("n"), F.nullif("reasoning", F.lit("--")).alias("reasoning"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-
-
 from pyspark.sql import functions as F
 
 from sievework.functions.text import evaluation, percent
@@ -11,6 +9,7 @@ from sievework.operators import selection as sel
 from sievework.operators.adapters import results, suggestions
 from sievework.operators.scoring import best_and_worst, restrict, score
 from sievework.plans.sql import BASE, BOTH, GAP, RESULTS, SUGGESTIONS, TOTALS, query, scored, top1, top3
+from sievework.rounds import Rounds
 
 QUERIES, ORACLES = {}, {}
 #: A portfolio: the suppliers 1 to 40.
@@ -36,6 +35,11 @@ def _sco(spark, d, mode="code"):
     return score(results(spark, d), mode)
 
 
+def _kept(spark, d):
+    """The scores alone, written once: for measures that read them several times."""
+    return Rounds(spark).kept(_sco(spark, d).select("problem", "instance", "solver", "score"))
+
+
 SCORE_SQL = "select problem, instance, solver, status, derived, count(*) as n, round(sum(score), 6) as total, round(max(best), 2) as best, round(max(worst), 2) as worst from sco group by 1, 2, 3, 4, 5"
 
 
@@ -112,7 +116,7 @@ def sbs_fixed(spark, d):
 
 @query_of(query(*BOTH, TOTALS, top1(), GAP, "select provider, model, round(total, 6) as total, covered, round(gap, 6) as gap from gap"))
 def closed_gap(spark, d):
-    s = _sco(spark, d)
+    s = _kept(spark, d)
     return sel.closed_gap(sel.top1(suggestions(spark, d), s), s).select("provider", "model", r6("total"), "covered", r6("gap"))
 
 
@@ -129,8 +133,9 @@ def single_solver_scores(spark, d):
 
 @query_of(query(*BOTH, TOTALS, top3(), top1(), GAP, "select provider, model, round(coalesce(t3.total, 0), 6) as parallel_score, round(coalesce(t1.total, 0), 6) as single_score, round(gap, 6) as closed_gap from t3 full join t1 using (provider, model) full join (select provider, model, gap from gap) using (provider, model)"))
 def performance_table(spark, d):
-    s, llm = _sco(spark, d), suggestions(spark, d)
-    first = sel.top1(llm, s)
+    """Suggestions and scores are made once each, though several measures read them."""
+    s, llm = _kept(spark, d), suggestions(spark, d)
+    first = Rounds(spark).kept(sel.top1(llm, s))
     out = sel.performance_table(sel.top3_summary(llm, s), sel.top1_summary(first), sel.closed_gap(first, s))
     return out.select("provider", "model", r6("parallel_score"), r6("single_score"), r6("closed_gap"))
 
@@ -145,8 +150,7 @@ def _by_variant(spark, d):
 
 @query_of(query(*BOTH, top1(), f"bv as ({BY_VARIANT})", "select provider, model, variant, round(total, 6) as total, round(average, 6) as average, covered, model || ' (' || variant || ')' as model_variant from bv"))
 def variant_union(spark, d):
-    all_ = _by_variant(spark, d)
-    out = sel.variants(*((v, all_.filter(F.col("variant") == v)) for v in ("v0", "v1", "v2", "v3")))
+    out = sel.variant_names(_by_variant(spark, d), "variant")
     return out.select("provider", "model", "variant", r6("total"), r6("average"), "covered", "model_variant")
 
 

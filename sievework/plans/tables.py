@@ -114,3 +114,10 @@ def aligned_report(spark, d):
     """A report in columns of fixed width for each brand."""
     rows = arrays.aligned(table(spark, d, "part"), "p_brand", "p_partkey", ["p_partkey", "p_size"], [24, 4], "p_name")
     return rows.select("p_brand", F.md5("text").alias("text"))
+
+
+@query_of(query(*BOTH, top1(), "select provider, model, printf('%.2f', total) as total, printf('%.3f', average) as average, printf('%.0f', covered::double) as covered from t1"))
+def styled_summary(spark, d):
+    """A summary with its numbers as text."""
+    t = sel.top1_summary(sel.top1(suggestions(spark, d), score(results(spark, d))))
+    return sinks.styled(t, others={"total": 2, "covered": 0}).select("provider", "model", "total", "average", "covered")

@@ -6,6 +6,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 from pyspark.sql.window import Window
 
 from sievework.functions.text import decimals
@@ -88,3 +89,9 @@ def unification_report(groups: DataFrame) -> DataFrame:
     """Counts of a unification as one JSON text: names, definitions, and how many names were changed."""
     n = F.size("names")
     return groups.agg(F.to_json(F.struct(F.sum(n).alias("names"), F.count("*").alias("definitions"), F.sum(F.size(F.filter("names", lambda x: x != F.col("unified")))).alias("renamed"))).alias("value"))
+
+
+def styled(df: DataFrame, places: int = 3, others: dict[str, int] | None = None) -> DataFrame:
+    """Numbers as text with so many decimals, ``others`` by column; nulls and other columns stay."""
+    digits = {f.name: (others or {}).get(f.name, places) for f in df.schema if isinstance(f.dataType, NumericType)}
+    return df.withColumns({c: F.when(F.col(c).isNotNull(), F.format_string(f"%.{n}f", F.col(c).cast("double"))) for c, n in digits.items()})
