@@ -36,12 +36,21 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 HOST = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 STRETCH = re.compile(r"[0-9@]\S*(?:\s\S*[0-9@]\S*)*")
+#: The same where an address may be spelled out: with the word before such an at sign.
+SPELLED = re.compile(r"(?:[0-9@]|[A-Za-z0-9._%+-]{1,64} ?[(\[] ?at ?[)\]] ?)\S*(?: ?[(\[] ?(?:at|dot) ?[)\]] ?\S+| \S+ ?[(\[] ?dot ?[)\]] ?\S+|\s\S*[0-9@]\S*)*")
+#: What a candidate segment may look like: the plain patterns' matches, and spaced, bracketed, spelled out or broken forms.
+FORMS = {
+    "email": re.compile(r"[A-Za-z0-9._%+-]+(?:@| ?[(\[] ?at ?[)\]] ?)[A-Za-z0-9-]+(?:(?:\.| ?[(\[] ?dot ?[)\]] ?)[A-Za-z0-9-]+)+"),
+    "ip": re.compile(r"[0-9]+(?: ?(?:\.|\[\.\]|\(\.\)) ?[0-9]+){3}"),
+    "card": re.compile(r"[0-9](?:[ ./-]{0,3}[0-9])+"),
+    "phone": re.compile(r"(?:\+|00)?[ ]?\(?[0-9][ ().0-9/-]+[0-9]"),
+}
 UNIT = re.compile(r"[0-9]+|[^\W\d_]+|\s|.", re.S)
 #: Units in an entity at most.
 BOUND = 32
 #: Labelled stretches that the weights are fitted on, made by rule; and passes over them.
-EXAMPLES, PASSES = 600, 12
-SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+EXAMPLES, PASSES = 900, 8
+SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long"
 
 
 def luhn(digits: str) -> bool:
@@ -58,6 +67,7 @@ def _digits(s: str) -> str:
 
 def _passes(kind: str, s: str) -> bool:
     if kind == "ip":
+        s = re.sub(r"[ \[\]()]", "", s)
         return all(len(d := p.lstrip("0")) <= 3 and int(d or 0) <= 255 for p in s.split("."))
     if kind == "card":
         return 16 <= len(d := _digits(s)) <= 19 and luhn(d)
@@ -88,9 +98,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def _segment(kind: int, s: str, before: str, after: str) -> list[str] | None:
     """Features of ``s`` as one entity of a kind; None if it can't be one."""
-    if not PATTERNS[KINDS[kind]].fullmatch(s):
+    if not FORMS[KINDS[kind]].fullmatch(s):
         return None
-    f = ["any"]
+    f = ["any"] if PATTERNS[KINDS[kind]].fullmatch(s) else ["other form"]
     word = lambda c: c.isalnum() or c == "_"
     if word(before) or before in "+.-@%=" and before:
         f.append("joined before")
@@ -99,7 +109,7 @@ def _segment(kind: int, s: str, before: str, after: str) -> list[str] | None:
     if kind == 0:
         top = s.rpartition(".")[2]
         f.append("letters at the top" if top.isalpha() and len(top) > 1 else "odd top")
-        f += ["odd edge"] * (s[0] in ".%+-" or s[-1] == "-" or ".." in s)
+        f += ["odd edge"] * (s[0] in ".%+-" or s[-1] == "-" or ".." in s) + ["spelled out"] * ("@" not in s)
     elif kind == 1:
         f += ["parts in range" if _passes("ip", s) else "parts too large"]
         f += ["leading zero"] * any(len(p) > 1 and p[0] == "0" for p in s.split("."))
@@ -116,6 +126,12 @@ def _segment(kind: int, s: str, before: str, after: str) -> list[str] | None:
             if not 7 <= len(d) <= 16:
                 return None
             f += ["plain length" if 10 <= len(d) <= 13 else "odd length"]
+            if s[0] != "+":
+                # without a plus its groups have to look like those of a number that is dialled
+                sizes = [len(g) for g in re.split("[^0-9]+", s) if g]
+                dialled = sizes in ([3, 3, 4], [1, 3, 3, 4]) or s[0] in "(0" and 2 <= len(sizes) <= 5 and 2 <= sizes[0] <= 5
+                date = re.fullmatch(r"(?:19|20)[0-9]{2}[-./ ][0-9]{1,2}[-./ ][0-9]{1,2}.*|[0-9]{1,2}[-./ ][0-9]{1,2}[-./ ](?:19|20)[0-9]{2}.*", s)
+                f += ["dialled without a plus" if dialled else "undialled without a plus"] + ["date"] * bool(date) + [f"{len(seps)} marks without a plus"] + ["thousands"] * (len(sizes) > 2 and all(x == 3 for x in sizes[1:]))
             f += ["brackets"] * bool(re.search(r"\([0-9]+\)", s)) + ["loose bracket"] * (s.count("(") != s.count(")")) + ["dots"] * ("." in s)
             f += ["fours last"] * (len(groups[-1]) == 4) + ["long group"] * any(len(g) > 8 for g in groups) + ["short last"] * (len(groups[-1]) < 3) + [f"{min(len(groups), 6)} groups"]
             f += ["out of range"] * (not 8 <= len(d) <= 15)
@@ -139,7 +155,7 @@ class Lattice:
         text, at = self.text, self.at
         yield i + 1, 0, _outside(text[at[i] : at[i + 1]])
         first = text[at[i]]
-        if not (first == "+" or first.isascii() and first.isalnum() or first in "._%-"):
+        if not (first in "+(" or first.isascii() and first.isalnum() or first in "._%-"):
             return
         before, digits = text[at[i] - 1] if at[i] else "", 0
         for j in range(i + 1, min(len(at) - 1, i + BOUND) + 1):
@@ -151,8 +167,14 @@ class Lattice:
             if not (last.isascii() and (last.isalnum() or last == "-")):
                 continue
             after = text[at[j]] if at[j] < len(text) else ""
-            kinds = [0] if "@" in s else [3] if first == "+" else [1] * (s.count(".") == 3) + [2] * (digits > 12) if first.isdigit() else []
-            if digits > 19 and "@" not in s:
+            at_sign = "@" in s or "at)" in s or "at]" in s
+            if at_sign:
+                kinds = [0]
+            elif first.isdigit():
+                kinds = [1] * (s.count(".") == 3) + [2] * (digits > 12) + [3] * (digits > 7)
+            else:
+                kinds = [3] * (first in "+(")
+            if digits > 19 and not at_sign:
                 return
             for k in kinds:
                 if (f := _segment(k, s, before, after)) is not None:
@@ -237,22 +259,27 @@ def examples(count: int = EXAMPLES, seed: int = 20) -> list[tuple[str, set]]:
     def card():
         body = r.choice("3456") + num(14)
         d = next(body + c for c in "0123456789" if luhn(body + c))
-        sep = r.choice(["", "", " ", "-"])
+        sep = r.choice(["", "", " ", "-", "."])
         return sep.join(d[i : i + 4] for i in range(0, 16, 4))
 
     def phone():
         a, b, c = num(3), num(3), num(4)
+        if r.random() < 0.3:
+            return r.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"0{num(2)}/{num(7)}", f"0049 {num(2)} {num(7)}", f"0{num(3)} {num(6)}", f"1-{a}-{b}-{c}"])
         return r.choice([f"+{r.randint(1, 99)} ({a}) {b}-{c}", f"+{r.randint(1, 99)} {a} {b} {c}", f"+{r.randint(1, 99)}-{a}-{b}-{c}", f"+{r.randint(1, 99)}{a}{b}{c}", f"+{r.randint(1, 99)} {a} {num(7)}"])
 
     def email():
+        if r.random() < 0.2:
+            at, dot = r.choice([("(at)", "(dot)"), ("[at]", "[dot]"), (" (at) ", "."), (" [at] ", " [dot] "), (" (at) ", " (dot) ")])
+            return f"{letters(3, 8)}{r.choice(['', '.' + letters(3, 6)])}{at}{letters(3, 8)}{dot}{r.choice(['com', 'org', 'de'])}"
         return f"{letters(3, 8)}{r.choice(['', '.', '_', '-'])}{r.choice([letters(2, 6), num(2)])}@{letters(3, 8)}{r.choice(['', num(1)])}.{r.choice(['', 'example.'])}{r.choice(['com', 'org', 'net', 'de', 'fr'])}"
 
     def ip():
-        return ".".join(str(r.randint(0, 255)) for _ in range(4))
+        return r.choice([".", ".", ".", ".", "[.]", "(.)"]).join(str(r.randint(0, 255)) for _ in range(4))
 
     def other():
         d = num(16)
-        return r.choice([num(r.randint(1, 7)), d if not luhn(d) else d + "x7", f"{r.randint(1, 9)}.{r.randint(0, 20)}.{r.randint(0, 20)}", f"20{num(2)}-0{r.randint(1, 9)}-1{num(1)}", f"{r.randint(300, 999)}.{num(2)}.{num(2)}.{num(3)}", f"password={letters(1, 3)}{num(4)}{letters(2, 4)}{num(5)}", f"@{letters(3, 8)}", num(12), f"{num(3)}-{num(4)}"])
+        return r.choice([num(r.randint(1, 7)), d if not luhn(d) else d + "x7", f"{r.randint(1, 9)}.{r.randint(0, 20)}.{r.randint(0, 20)}", f"20{num(2)}-0{r.randint(1, 9)}-1{num(1)}", f"{r.randint(300, 999)}.{num(2)}.{num(2)}.{num(3)}", f"password={letters(1, 3)}{num(4)}{letters(2, 4)}{num(5)}", f"@{letters(3, 8)}", num(12), f"{num(3)}-{num(4)}", f"{r.randint(1, 999)} {num(3)} {num(3)}", f"{r.randint(1, 31)}.{r.randint(1, 12)}.20{num(2)}", f"20{num(2)}-{num(2)}-{num(2)} {num(2)}:{num(2)}", f"978-{num(1)}-{num(2)}-{num(6)}-{num(1)}", f"{num(4)} {num(5)}", f"{num(2)}.{num(3)}.{num(3)}", f"19{num(2)}-19{num(2)}", f"{num(6)}-{num(6)}"])
 
     make = [email, ip, card, phone, other]
     out = []
@@ -282,15 +309,18 @@ def train(rate: float = 0.3) -> tuple[dict[str, float], np.ndarray]:
 
 
 def spans(text: str, model: tuple[dict, np.ndarray]) -> tuple[list, list]:
-    """The plain patterns' spans, and those that the field adds: outside of every plain span of their kind, or a part of one."""
+    """The plain patterns' spans, and those that the field adds: outside of every plain span, or a part of one of its kind."""
     base = base_spans(text)
     added = []
-    for m in STRETCH.finditer(text):
+    spelled = any(x in text for x in ("at)", "at]", "at )", "at ]"))
+    low = 0
+    for m in (SPELLED if spelled else STRETCH).finditer(text):
         start = m.start()
-        while start and not text[start - 1].isspace():
+        while start > low and not text[start - 1].isspace():
             start -= 1
+        low = m.end()
         for k, a, b in Lattice(text, start, m.end()).best(*model):
-            if _passes(KINDS[k], text[a:b]) and not any(k == q and a < y and x < b and not (x <= a and b <= y and b - a < y - x) for q, x, y in base):
+            if _passes(KINDS[k], text[a:b]) and not any(a < y and x < b and not (k == q and x <= a and b <= y and b - a < y - x) for q, x, y in base):
                 added.append((k, a, b))
     return base, added
 
@@ -304,14 +334,14 @@ def _find(batches, model):
         rows = []
         for t in b.column("text").to_pylist():
             base, added = spans(t or "", model.value)
-            rows.append([*(sum(k == x for x, _, _ in base) for k in range(4)), hashlib.sha256(_show(base).encode()).hexdigest(), _show(base + added), len(added)])
-        columns = list(zip(*rows, strict=True)) or [()] * 7
-        kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
+            rows.append([*(sum(k == x for x, _, _ in base) for k in range(4)), hashlib.sha256(_show(base).encode()).hexdigest(), _show(base + added), len(added), len(base) + len(added)])
+        columns = list(zip(*rows, strict=True)) or [()] * 8
+        kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()] * 2
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """doc_id, the number of plain spans of each kind, their digest, all spans, and the number added, a row a document.
+    """doc_id, the number of plain spans of each kind, their digest, all spans, the number added and that of all, a row a document.
 
     Offsets count code points; ends are exclusive. Time and memory grow in proportion to a text's length, whatever it is
     made of. A null or empty text has no spans (an empty string); repeated

@@ -104,3 +104,75 @@ def test_numbers_of_any_length():
         assert pii.base_spans(text) == [x for x in pii.base_spans(text) if x[0] == 1]
         pii.spans(text, pii.train())
     assert pii.base_spans("0" * 5000 + "1.1.1.1") == [(1, 0, 5007)]
+
+
+#: Written by hand; {kind|text} marks what is personal. Plain forms among others that look alike.
+LABELLED = """Call me at {phone|+49 30 1234567} or {phone|(030) 765-4321} before noon.
+Office: {phone|555-867-5309}, fax {phone|555-867-5310}.
+Ring {phone|0049 89 4567890} or {phone|089/4567890}; room 12, floor 3.
+My number is {phone|+1 (212) 555-0187}, my colleague's {phone|1-212-555-0199}.
+Tel. {phone|0171 2345678} (evenings), order no. 4711.
+Reach us: {phone|(800) 555-1234} ext. 22
+{phone|+33 1 42 68 53 00} is the embassy
+Her mobile, {phone|+44 7700 900123}, was off.
+Write to {email|jane.doe@example.com} or {email|j_doe99@mail.example.org}.
+Write to {email|jane.doe (at) example.com}, not to the list.
+Contact: {email|info[at]firm[dot]de}
+Mail {email|support (at) help (dot) org} for details, @support on chat.
+{email|a.b+c@sub.example.co.uk} wrote on 2021-03-04 at 10:15.
+Mail to {email|sales(at)shop.com} and {email|press(at)shop.com}
+The host {ip|10.0.0.12} talks to {ip|192.168.1.254} on port 8080.
+Defanged: {ip|203[.]0[.]113[.]7} and {ip|198.51.100.23}
+Logged in from {ip|172.16.254.1} at 12:30, version 4.18.2.
+Ping {ip|8 . 8 . 8 . 8} please
+Card {card|4111 1111 1111 1111}, expires 12/27.
+Paid with {card|5500-0000-0000-0004} yesterday.
+Visa {card|4111.1111.1111.1111} was declined
+Amex or not: {card|4012888888881881} it is
+{card|4222 2222 2222 2220} {card|4111 1111 1111 1111}
+The year 1914-1918 and 1939-1945 saw 10 000 000 men in arms.
+ISBN 978-3-16-148410-0, pages 100-250, 12.5 cm.
+Version 1.2.3.4567 of 2020-01-15 fixes 27 bugs; see 10.1000/182.
+Populations of 1 234 567 and 83 129 285 were counted in 2011.
+On 12.05.2019 we sold 1.250.000 units at 3.99 each.
+Call number QA76.73 .P98 2004, shelf 12-04.
+Coordinates 52.5200, 13.4050; altitude 34 m.
+Order 20210304-0017, invoice 998877, batch 12-34-56.
+Score 3-2, odds 7/4, ratio 16:9, 100 000 seats, 2 500 km.
+Meet @noon at gate 4, seat 22A, flight LH 454.
+Part number 123-4567-890123 and serial 00012345.
+sha 04dbebab91ab85687d33 and token 5f3a9c1e77b2
+From 1/2/2003 to 31/12/2010, 365 days a year.
+Ids 100200300, 100200301 and 100200302 were merged.
+In 1999 about 6 000 000 000 people lived; in 2011, 7 000 000 000.
+It costs $1,299.00 (was $1,499.00), VAT 19 %.
+The ratio 22/7 is 3.142857142857 to twelve places.
+Bus 100 leaves at 07:45, 08:15 and 08:45 from stop 3.
+Chapter 3.1.4.1 explains section 2.7.1.8 of part 2.""".split("\n")
+
+
+def marked(line):
+    import re
+
+    text, truth = "", set()
+    for part in re.split(r"(\{[a-z]+\|[^}]*\})", line):
+        if m := re.fullmatch(r"\{([a-z]+)\|([^}]*)\}", part):
+            truth.add((pii.KINDS.index(m[1]), len(text), len(text) + len(m[2])))
+            part = m[2]
+        text += part
+    return text, truth
+
+
+def test_hand_labelled(model):
+    """The field finds forms beyond the patterns: of the marked spans at least 0.9, with at least 0.9 of its own additions marked."""
+    found = base_found = marks = added_right = added_all = 0
+    for line in LABELLED:
+        text, truth = marked(line)
+        base, added = pii.spans(text, model)
+        marks += len(truth)
+        base_found += len(truth & set(base))
+        found += len(truth & (set(base) | set(added)))
+        added_right += len(truth & set(added))
+        added_all += len(set(added))
+    print(f"marked {marks}, by patterns {base_found}, with the field {found}; added {added_all}, right {added_right}")
+    assert found >= 0.9 * marks and added_right >= 0.9 * added_all and found > base_found + 8
