@@ -192,3 +192,8 @@ def metric_max(df: DataFrame, column: str) -> DataFrame:
 def complete(df: DataFrame, subset: list[str]) -> DataFrame:
     """Rows without a null, or NaN, in the columns of ``subset`` that there are."""
     return df.dropna(subset=[c for c in subset if c in df.columns]) if any(c in df.columns for c in subset) else df
+
+
+def with_metadata(df: DataFrame, **values) -> DataFrame:
+    """Add a constant column for each value, such as a variant and a temperature; columns of these names are replaced."""
+    return df.withColumns({k: F.lit(v) for k, v in values.items()})

@@ -121,3 +121,26 @@ def styled_summary(spark, d):
     """A summary with its numbers as text."""
     t = sel.top1_summary(sel.top1(suggestions(spark, d), score(results(spark, d))))
     return sinks.styled(t, others={"total": 2, "covered": 0}).select("provider", "model", "total", "average", "covered")
+
+
+@query_of("with l as (select l_orderkey, count(*) as n from lineitem group by 1), x as (select unnest([4, 3, 2, 1]) as degree, unnest([1, 1, 2, n - 1]) as c from l) select degree::bigint as degree, sum(c)::bigint as variables from x where c > 0 group by 1")
+def fzn_degrees(spark, d):
+    """How many variables of the nested models are named so often in constraints."""
+    t = Rounds(spark).kept(flatzinc.tables(_nested(spark, d)))
+    return flatzinc.degree_table(t).groupBy("degree").agg(F.count("*").alias("variables"))
+
+
+@query_of("select l_orderkey::varchar as file, 'xs' as name, count(*) as elements, 1::bigint as low, max(cast(l_quantity as int))::bigint as high from lineitem group by 1")
+def fzn_array_spans(spark, d):
+    """What the domains of each model's array of variables span."""
+    return flatzinc.array_spans(Rounds(spark).kept(flatzinc.tables(_files(spark, d))))
+
+
+@query_of("select o_orderpriority as model, o_orderstatus as status, 'Top' as variant, 0.2::double as temperature, count(*) as n from orders where o_orderkey % 3 > 0 and o_orderkey % 5 > 0 group by 1, 2")
+def labelled_rows(spark, d):
+    """Rows without nulls in the columns that count, with a run's variant and temperature."""
+    o = table(spark, d, "orders")
+    blank = lambda c, k: F.when(F.col("o_orderkey") % k > 0, F.col(c))
+    rows = o.select(blank("o_orderpriority", 3).alias("model"), blank("o_orderstatus", 5).alias("status"), F.lit(None).cast("string").alias("other"))
+    out = sel.with_metadata(sel.complete(rows, ["model", "status", "missing"]), variant="Top", temperature=0.2)
+    return out.groupBy("model", "status", "variant", "temperature").agg(F.count("*").alias("n"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sievework.functions import text as tx
 from sievework.operators import prompts, taxonomy
 from sievework.operators.adapters import table
-from sievework.sources import documents
+from sievework.sources import documents, files
 
 QUERIES, ORACLES = {}, {}
 
@@ -138,10 +138,10 @@ def events_props(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(k).alias("k"), F.count_distinct(k).alias("kinds"))
 
 
-@query_of("with l as (select page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) as link from pages) select link, min(page_id) as first_page, count(*) as n from l group by 1")
+@query_of("with l as (select page_id, unnest(regexp_extract_all(html, 'href=[\"'']([^\"''#]+)', 1)) as link from pages) select link, min(page_id) as first_page, count(*) as n from l where starts_with(link, '/') group by 1")
 def page_links(spark, d):
-    links = table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("link"))
-    return links.groupBy("link").agg(F.min("page_id").alias("first_page"), F.count("*").alias("n"))
+    found = files.links(table(spark, d, "pages").select(F.col("page_id").alias("url"), "html"), "/")
+    return found.select("link", F.col("url").alias("first_page"), "n")
 
 
 @query_of("with t as (select distinct p_partkey, cast(p_partkey as varchar) || '.' || lpad(cast(p_size * 997 as varchar), 6, '0') || case when p_size % 5 = 0 then ' ' when p_size % 5 = 1 then 'e3' else '' end as x from part) select p_partkey, regexp_replace(x, '^(\\s*[+-]?\\d+\\.\\d{3})\\d+(\\s*)$', '\\1\\2') as three, regexp_replace(x, '^(\\s*[+-]?\\d+)\\.\\d+(\\s*)$', '\\1\\2') as none from t")

@@ -148,6 +148,6 @@ def definitions(pages: DataFrame) -> DataFrame:
 
 
 def links(pages: DataFrame, prefix: str = "") -> DataFrame:
-    """Each internal link once, with the first page and place that has it; fragments are cut off."""
+    """Each internal link once, with the first page and place that has it and how often it is there; fragments are cut off."""
     found = pages.select("url", F.posexplode(F.regexp_extract_all("html", F.lit("href=[\"']([^\"'#]+)"), F.lit(1))).alias("place", "link"))
-    return found.filter(F.col("link").startswith(prefix)).groupBy("link").agg(F.min(F.struct("url", "place")).alias("first")).select("link", "first.url", "first.place")
+    return found.filter(F.col("link").startswith(prefix)).groupBy("link").agg(F.min(F.struct("url", "place")).alias("first"), F.count("*").alias("n")).select("link", "first.url", "first.place", "n")

@@ -48,5 +48,7 @@ constraint lin(c,xs,x); constraint lin(xs,[k,y],3); constraint all(open,x); cons
     categories = spark.createDataFrame([("g", "lin"), ("b", "lin"), ("b", "all")], "category string, member string")
     heads = {r.category: (r.types, r.constraints, r.arity) for r in flatzinc.type_headers(flatzinc.type_counts(t), categories).collect()}
     assert heads == {"b": (2, 3, (2 + 2 + 4) / 3), "Uncategorized": (1, 1, 0.0)}
+    assert {r.name: r.degree for r in flatzinc.degree_table(t).collect()} == flatzinc.degrees(m) == {"x": 2, "k": 1, "y": 1}
+    assert {r.name: (r.elements, r.low, r.high) for r in flatzinc.array_spans(t).collect()} == {"xs": (2, 1, 4), "open": (0, None, None)}
     assert t.filter("kind = 'constraint'").select(F.count_distinct("place")).first()[0] == 4
     t.unpersist()
