@@ -11,6 +11,7 @@ PROBLEMS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 TOP3_KEYS = ("top3", "top_3", "suggested")
 TIME_KEYS = ("time_seconds", "time")
 DEFAULT_CONTEXT, CONTEXT_RESERVE = 250_000, 256
+#: What a search's order of variables is called in reports.
 SEARCH_VARIABLE = {
     "input_order": "the input order",
     "first_fail": "a first-fail strategy",
@@ -18,13 +19,16 @@ SEARCH_VARIABLE = {
     "smallest": "a smallest-domain strategy",
     "largest": "a largest-domain strategy",
 }
+#: What its choice of values is called.
 SEARCH_VALUE = {
     "indomain_min": "assigning the minimum value",
     "indomain_max": "assigning the maximum value",
     "indomain_split": "splitting the domain",
     "indomain_split_random": "splitting the domain randomly",
 }
+#: How far it goes.
 SEARCH_EXTENT = {"complete": "exploring the entire search space", "incomplete": "using an incomplete exploration strategy"}
+#: What types of constraints are said to do.
 CONSTRAINT_TEXT = {
     "int_lin_eq": "Linear equality constraints enforce that weighted sums of integer variables equal a constant",
     "int_lin_le": "Linear inequality constraints restrict weighted sums of integer variables to be less than or equal to a constant",
