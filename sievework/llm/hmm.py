@@ -29,9 +29,9 @@ COMMON = 2e-5  # of the training tokens: a symbol of its own
 KNOWN = 2e-7  # its count is broadcast: 1 / KNOWN entries of 18 bytes at most
 CLASSES = 1024
 ANCHORS = 128
-#: Steps whose states are held at once while expected counts are added up.
-BLOCK = 512
-BATCH_TOKENS = 300_000
+#: Symbols of a text that one row of a batch goes through; texts count whole all the same.
+BLOCK = 2048
+BATCH_TOKENS = 600_000
 #: Distinct tokens that a task counts before it hands them on.
 HELD = 400_000
 
@@ -225,50 +225,92 @@ def forward(seqs: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: n
     return back
 
 
+def _entries(seqs: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: np.ndarray, block: int) -> tuple[list, list, list]:
+    """Pieces of at most ``block`` symbols, and what the rest of its text says to each: the state before it (null at a text's start),
+    and the weights of the state at its end, which are all 1 at a text's end.
+
+    A piece's effect on the state is a matrix: its steps from each single state, made for all pieces at once. The matrices of a
+    text are applied one after the other, forwards and backwards; so no count stops at a piece's end, and a long text
+    takes as many steps as a piece, not as it has symbols. Texts of one piece cost nothing here.
+    """
+    cut = [[s[i : i + block] for i in range(0, len(s), block)] for s in seqs]
+    long_ = [c for c in cut if len(c) > 1]
+    ones, ahead, behind = np.ones(len(start)), {}, {}
+    if long_:
+        heads = np.stack([c[0] for c in long_])  # all of ``block`` symbols; the first is met without a move
+        state = start * emit[heads[:, 0]]
+        for t in range(1, block):
+            state = (state / state.sum(1)[:, None]) @ move * emit[heads[:, t]]
+        inner = [p for c in long_ for p in c[1:]]
+        flat, at, reach, order = _steps(inner)
+        effect = np.repeat(np.eye(len(start))[None], len(inner), 0)
+        for t, n in enumerate(reach):
+            effect[:n] = (effect[:n] @ move) * emit[flat[at[:n] + t]][:, None, :]
+            effect[:n] /= effect[:n].sum((1, 2))[:, None, None]
+        place = np.empty(len(inner), np.int64)
+        place[order] = np.arange(len(inner))
+        k = 0
+        for c, a in zip(long_, state, strict=True):
+            of = [effect[place[k + i]] for i in range(len(c) - 1)]
+            k += len(of)
+            entered, left = [], [ones]
+            for m in of:
+                entered.append(a / a.sum())
+                a = entered[-1] @ m
+            for m in of[::-1]:
+                w = m @ left[-1]
+                left.append(w / w.sum())
+            ahead[id(c)], behind[id(c)] = [None, *entered], left[::-1]
+    return [p for c in cut for p in c], [x for c in cut for x in ahead.get(id(c), [None])], [x for c in cut for x in behind.get(id(c), [ones])]
+
+
 def expect(seqs: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: np.ndarray, sums: list[np.ndarray], block: int = BLOCK) -> float:
     """Baum-Welch: add the expected counts of first states, transitions and emissions to ``sums``; returns ln p of all.
 
-    Sequences are worked on whole. The forward pass keeps what stands before every ``block`` steps; the backward pass goes
-    block by block and has the steps inside it made again, so that memory grows with a block and the number of blocks.
+    Sequences count whole. Long ones go through their steps in pieces side by side, each from the state that the pieces before it
+    lead to and under the weights of those behind it (see ``_entries``). Of the pieces about ``BATCH_TOKENS`` symbols are
+    held at a time, however long a text is.
     """
-    flat, at, reach, _ = _steps(seqs)
+    pieces, before, after = _entries(seqs, start, move, emit, block)
+    out, low, size = 0.0, 0, 0
+    for i, p in enumerate(pieces):
+        size += len(p)
+        if size > BATCH_TOKENS or i == len(pieces) - 1:
+            out += _gather(pieces[low : i + 1], before[low : i + 1], after[low : i + 1], start, move, emit, sums)
+            low, size = i + 1, 0
+    return out
 
-    def step(t: int, before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        n = reach[t]
-        a = emit[flat[at[:n] + t]] * (before[:n] @ move if t else start)
+
+def _gather(pieces: list[np.ndarray], before: list, after: list, start: np.ndarray, move: np.ndarray, emit: np.ndarray, sums: list[np.ndarray]) -> float:
+    """Forward and backward through pieces of texts; adds to ``sums``."""
+    flat, at, reach, order = _steps(pieces)
+    first = np.array([before[i] is None for i in order])
+    enter = np.array([start if before[i] is None else before[i] for i in order], emit.dtype)
+    leave = np.array([after[i] for i in order], emit.dtype)
+    ahead, scale, out = [], [], 0.0
+    for t, n in enumerate(reach):
+        a = emit[flat[at[:n] + t]] * (ahead[-1][:n] @ move if t else np.where(first[:, None], enter, enter @ move))
         c = a.sum(1)
         a /= c[:, None]
-        return a, c
-
-    marks, a, out = [], None, 0.0
-    for t in range(len(reach)):
-        if t % block == 0:
-            marks.append(a)
-        a, c = step(t, a)
+        ahead.append(a)
+        scale.append(c)
         out += float(np.log(c).sum())
-    later = None
-    for low in range((len(marks) - 1) * block, -1, -block):
-        ahead, scale, a = [], [], marks.pop()
-        for t in range(low, min(low + block, len(reach))):
-            a, c = step(t, a)
-            ahead.append(a)
-            scale.append(c)
-        states = [None] * len(ahead)
-        for k in range(len(ahead) - 1, -1, -1):
-            t, n = low + k, reach[low + k]
-            b = np.ones((n, len(start)), emit.dtype)
-            if later is not None:
-                m = len(later)
-                b[:m] = later @ move.T
-                sums[1] += ahead[k][:m].T.astype(np.float64) @ later * move
-            states[k] = ahead[k] * b
-            later = emit[flat[at[:n] + t]] * b / scale[k][:, None]
-        if low == 0:
-            sums[0] += states[0].sum(0)
-        symbols = np.concatenate([flat[at[: reach[low + k]] + low + k] for k in range(len(states))])
-        each = np.concatenate(states)
-        for k in range(len(start)):
-            sums[2][:, k] += np.bincount(symbols, each[:, k], len(emit))
+    states, later = [None] * len(reach), None
+    for t in range(len(reach) - 1, -1, -1):
+        n = reach[t]
+        b = leave[:n] / (ahead[t] * leave[:n]).sum(1)[:, None]  # of pieces that end here
+        if later is not None:
+            m = len(later)
+            b[:m] = later @ move.T
+            sums[1] += ahead[t][:m].T.astype(np.float64) @ later * move
+        states[t] = ahead[t] * b
+        later = emit[flat[at[:n] + t]] * b / scale[t][:, None]
+    sums[0] += states[0][first].sum(0)
+    sums[1] += enter[~first].T.astype(np.float64) @ later[~first] * move  # from one piece into the next
+    symbols = np.concatenate([flat[at[:n] + t] for t, n in enumerate(reach)])
+    each = np.concatenate(states)
+    for k in range(len(start)):
+        sums[2][:, k] += np.bincount(symbols, each[:, k], len(emit))
     return out
 
 
@@ -276,19 +318,16 @@ def _expect(batches, model, wide):
     start, move, emit = model.value
     sums = [np.zeros_like(start, np.float64), np.zeros_like(move, np.float64), np.zeros_like(emit, np.float64)]
     out = 0.0
-    # texts of like length go through their steps together
-    held: dict[int, list[np.ndarray]] = {}
-    size: dict[int, int] = {}
+    held, size = [], 0
     for seqs, _ in _sequences(batches, wide):
-        for s in seqs:
-            kind = len(s).bit_length()
-            held.setdefault(kind, []).append(s)
-            size[kind] = size.get(kind, 0) + len(s)
-            if size[kind] > BATCH_TOKENS:
-                out += expect(held.pop(kind), start, move, emit, sums)
-                size[kind] = 0
-    for kind in sorted(held):
-        out += expect(held[kind], start, move, emit, sums)
+        for q in seqs:
+            held.append(q)
+            size += len(q)
+            if size > BATCH_TOKENS:
+                out += expect(held, start, move, emit, sums)
+                held, size = [], 0
+    if held:
+        out += expect(held, start, move, emit, sums)
     some = np.flatnonzero(sums[2].sum(1))
     ids = np.concatenate([some, -1 - np.arange(len(move)), [-1 - len(move), -2 - len(move)]]).astype(np.int32)
     rows = np.concatenate([sums[2][some], sums[1], [sums[0]], [np.full(len(start), out)]])
