@@ -7,12 +7,13 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from sievework.operators.flatzinc import commas
 from sievework.shipping import ship
 
 MOST, KEEP, CHARS, KEEP_CHARS = 200, 30, 80, 80
+#: White space, as a set of a pattern and as characters.
+WHITE, BLANKS = r" \t\n\x0b\f\r", " \t\n\x0b\f\r"
 
 
 def shape(inner: str) -> tuple[int, tuple[int, ...]]:
@@ -71,34 +72,52 @@ def sanitized(files: DataFrame) -> DataFrame:
     return files.select("file", "text").mapInPandas(run, "file string, text string, changed boolean")
 
 
+NAMED = rf"::[{WHITE}]*[\w:.]*"
+PARTS = {True: re.compile(rf"[{WHITE}]*{NAMED}(?:[{WHITE}]*(?=\())?|\(|\)|[^():{WHITE}]+|[{WHITE}]+|:"), False: re.compile(rf"{NAMED}|\(|\)|[^():{WHITE}]+|[{WHITE}]+|:")}
+
+
+def unannotated(text: str, arguments: bool = True) -> str:
+    """A text without its annotations. See ``without_annotations``."""
+    items = []
+    for item in text.split(";"):
+        out, depth, gone, after = [], 0, None, False  # gone: the level of the annotation's bracket that is open
+        for part in PARTS[arguments].findall(item):
+            if part == ")":
+                depth -= 1
+                if gone is None:
+                    out.append(part)
+                elif depth == gone:
+                    gone = None
+                after = False
+                continue
+            if part == "(":
+                if after and gone is None:
+                    gone = depth
+                depth += 1
+            mark = part.lstrip(BLANKS).startswith("::")
+            after = mark if arguments else mark and not part.strip(BLANKS)[2:]
+            if gone is None and not mark:
+                out.append(part)
+        items.append("".join(out))
+    whole = ";".join(items)
+    return whole if arguments else re.sub(f"[{WHITE}]{{2,}}", " ", whole)
+
+
 def without_annotations(files: DataFrame, arguments: bool = True) -> DataFrame:
     """file and text of each (file, text) without its annotations: '::' and a bracket, or '::' and a name.
 
     ``arguments``: a name's bracket and the white space before '::' go too; without it they stay and runs of white space become one
-    blank, as tools of older data have it. Brackets may be nested to any depth: the parts of an item (up to a semicolon) are
-    rows, its depth is a running sum of brackets, and a bracket's partner is the next bracket of its level; what lies
-    between an annotation's bracket and its partner goes. A bracket without a partner reaches to the end of its item. A null text stays null.
+    blank, as tools of older data have it. Brackets may be nested to any depth: a depth is counted along an item (up to a
+    semicolon), and what lies between an annotation's bracket and its partner goes. A bracket without a partner reaches to the
+    end of its item. A null text stays null. A text is one row's work: nothing is sorted or shuffled.
     """
-    name = r"::\s*[\p{L}\p{N}_:.]*"
-    mark = rf"\s*{name}(?:\s*(?=\())?" if arguments else name
-    parts = F.regexp_extract_all("text", F.lit(rf"{mark}|\(|\)|[^():\s]+|\s+|:"), F.lit(0))
-    items = files.select("file", F.posexplode_outer(F.split("text", ";")).alias("item", "text"))
-    rows = items.select("file", "item", F.posexplode_outer(parts).alias("at", "part"))
-    step = F.when(F.col("part") == "(", 1).when(F.col("part") == ")", -1)
-    item = Window.partitionBy("file", "item").orderBy("at")
-    marked = F.col("part").rlike(r"^\s*::") if arguments else F.col("part").rlike(r"^::\s*$")
-    rows = rows.withColumns({"step": step, "depth": F.sum(step).over(item), "marked": marked, "after": F.lag(marked, 1, False).over(item)})
-    level = F.when(F.col("step") == 1, F.col("depth") - 1).when(F.col("step") == -1, F.col("depth"))
-    rows = rows.withColumn("level", level)
-    partner = F.lead("at").over(Window.partitionBy("file", "item", "level").orderBy("at"))
-    ends = F.when(F.col("after") & (F.col("step") == 1), F.coalesce(partner, F.lit(2**31 - 1)))
-    rows = rows.withColumn("ends", ends).withColumn("reach", F.max("ends").over(item))
-    gone = F.col("part").rlike(r"^\s*::") | (F.coalesce("reach", F.lit(-1)) >= F.col("at"))
-    kept = F.transform(F.sort_array(F.collect_list(F.when(~gone, F.struct("at", "part")))), lambda x: x.part)
-    text = rows.groupBy("file", "item").agg(F.array_join(kept, "").alias("text"))
-    whole = text.groupBy("file").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("item", "text"))), lambda x: x.text), ";").alias("text"), F.count("item").alias("items"))
-    tidy = F.col("text") if arguments else F.regexp_replace("text", r"\s{2,}", " ")
-    return whole.select("file", F.when(F.col("items") > 0, tidy).alias("text"))
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"file": pdf["file"], "text": [None if t is None else unannotated(t, arguments) for t in pdf["text"]]})
+
+    ship(files.sparkSession)
+    return files.select("file", "text").mapInPandas(run, files.select("file", "text").schema)
 
 
 def features(rows: DataFrame, names: list[str], column: str = "values") -> DataFrame:
