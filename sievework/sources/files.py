@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -92,6 +93,33 @@ def short_references(html: str) -> str:
     return ZEROS.sub(r"\1", TOO_LARGE.sub("\ufffd", html)) if "&#" in html else html
 
 
+#: A page of nothing but tags without attributes and text, where a tag can be told without the parser.
+PLAIN = re.compile(r"[^<]*(?:</?[A-Za-z][A-Za-z0-9]*>[^<]*)*")
+TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)>")
+#: Tags whose content isn't read as tags.
+RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript", "plaintext"}
+
+
+def cell_texts(html: str) -> list[list[str]]:
+    """Texts of the cells of each row of each table body; a plain page is cut at its tags, others go through the parser."""
+    html = short_references(html)
+    cut = TAG.split(html) if PLAIN.fullmatch(html) else []
+    names = [x.lower() for x in cut[2::3]]
+    p = _Cells()
+    if cut and RAW.isdisjoint(names):
+        for end, name, text in zip(cut[1::3], names, cut[3::3], strict=True):
+            if end:
+                p.handle_endtag(name)
+            else:
+                p.handle_starttag(name, [])
+            if text and p.cell is not None:
+                p.cell.append(unescape(text) if "&" in text else text)
+    else:
+        p.feed(html)
+        p.close()
+    return p.rows
+
+
 class _Cells(HTMLParser):
     """Texts of the cells of each row of each table body."""
 
@@ -124,10 +152,7 @@ def table_rows(pages: DataFrame) -> DataFrame:
         for pdf in batches:
             out = []
             for url, html in zip(pdf["url"], pdf["html"], strict=True):
-                p = _Cells()
-                p.feed(short_references(html or ""))
-                p.close()
-                out += [(url, i, c) for i, c in enumerate(p.rows) if c]
+                out += [(url, i, c) for i, c in enumerate(cell_texts(html or "")) if c]
             yield pd.DataFrame(out, columns=["url", "row", "cells"])
 
     ship(pages.sparkSession)

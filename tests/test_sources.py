@@ -113,3 +113,18 @@ def test_prompts_and_streams(spark, tmp_path):
     assert {r.model: r.v for r in spark.read.parquet(str(last)).collect()} == {"a": 3, "b": 2}
     e = spark.createDataFrame([("2024-01-01 00:10:00", "x", 1.0), ("2024-01-01 00:50:00", "x", 2.0)], "ts string, event_type string, value double")
     assert [(r.n, r.value) for r in snapshot.event_windows(e).collect()] == [(2, 3.0)]
+
+
+def test_plain_pages_need_no_parser(monkeypatch):
+    """Pages of bare tags and text are cut at their tags, with the cells that the parser finds; others go through it."""
+    plain = "<table><tbody><tr><td> a &lt; b</TD><td>&#83;<b>x </b>\n y<tr><td>open</tbody><tr><td>after</td>"
+    others = [plain + "<td class=x>", "<!-- <tbody> -->" + plain, "<title><tbody></title>" + plain, plain + "1 < 2", plain.replace("<td>", "<td >")]
+    fed, feed = [], files._Cells.feed
+    monkeypatch.setattr(files._Cells, "feed", lambda self, x: (fed.append(x), feed(self, x)))
+    for page in [plain, *others]:
+        p = files._Cells()
+        feed(p, page)
+        p.close()
+        assert files.cell_texts(page) == p.rows
+    assert files.cell_texts(plain)[0] == ["a < b"]
+    assert fed == others
