@@ -282,35 +282,50 @@ def expect(seqs: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: np
 
 
 def _gather(pieces: list[np.ndarray], before: list, after: list, start: np.ndarray, move: np.ndarray, emit: np.ndarray, sums: list[np.ndarray]) -> float:
-    """Forward and backward through pieces of texts; adds to ``sums``."""
+    """Forward and backward through pieces of texts; adds to ``sums``.
+
+    Rows lie step by step, each step's pieces in one stretch: emissions are taken once, and each step works in place.
+    """
     flat, at, reach, order = _steps(pieces)
     first = np.array([before[i] is None for i in order])
     enter = np.array([start if before[i] is None else before[i] for i in order], emit.dtype)
     leave = np.array([after[i] for i in order], emit.dtype)
-    ahead, scale, out = [], [], 0.0
-    for t, n in enumerate(reach):
-        a = emit[flat[at[:n] + t]] * (ahead[-1][:n] @ move if t else np.where(first[:, None], enter, enter @ move))
-        c = a.sum(1)
-        a /= c[:, None]
-        ahead.append(a)
-        scale.append(c)
-        out += float(np.log(c).sum())
-    states, later = [None] * len(reach), None
-    for t in range(len(reach) - 1, -1, -1):
-        n = reach[t]
-        b = leave[:n] / (ahead[t] * leave[:n]).sum(1)[:, None]  # of pieces that end here
-        if later is not None:
-            m = len(later)
-            b[:m] = later @ move.T
-            sums[1] += ahead[t][:m].T.astype(np.float64) @ later * move
-        states[t] = ahead[t] * b
-        later = emit[flat[at[:n] + t]] * b / scale[t][:, None]
-    sums[0] += states[0][first].sum(0)
-    sums[1] += enter[~first].T.astype(np.float64) @ later[~first] * move  # from one piece into the next
-    symbols = np.concatenate([flat[at[:n] + t] for t, n in enumerate(reach)])
-    each = np.concatenate(states)
+    ends = np.cumsum(reach)
+    begins = ends - reach
+    step = np.repeat(np.arange(len(reach)), reach)
+    piece = np.arange(len(step)) - begins[step]
+    symbols = flat[at[piece] + step]
+    seen = emit[symbols]
+    ahead, scale, spans = np.empty_like(seen), np.empty((len(seen), 1), seen.dtype), list(zip(begins.tolist(), ends.tolist(), strict=True))
+    for t, (i, j) in enumerate(spans):
+        a = ahead[i:j]
+        if t:
+            np.matmul(ahead[(o := spans[t - 1][0]) : o + j - i], move, out=a)
+            a *= seen[i:j]
+        else:
+            np.multiply(seen[i:j], np.where(first[:, None], enter, enter @ move), out=a)
+        c = scale[i:j]
+        np.sum(a, axis=1, keepdims=True, out=c)
+        a /= c
+    out = float(np.log(scale, dtype=np.float64).sum())
+    seen /= scale
+    back, m, moved = np.empty_like(seen), 0, np.ascontiguousarray(move.T)
+    for i, j in reversed(spans):
+        b = back[i:j]
+        if m:
+            np.matmul(seen[j : j + m], moved, out=b[:m])
+        if m < j - i:  # pieces that end here
+            b[m:] = leave[m : j - i] / (ahead[i + m : j] * leave[m : j - i]).sum(1)[:, None]
+        seen[i:j] *= b
+        m = j - i
+    later = seen.astype(np.float64)
+    n = len(pieces)
+    sums[1] += ahead[begins[step[n:] - 1] + piece[n:]].T.astype(np.float64) @ later[n:] * move
+    sums[1] += enter[~first].T.astype(np.float64) @ later[:n][~first] * move  # from one piece into the next
+    ahead *= back
+    sums[0] += ahead[:n][first].sum(0)
     for k in range(len(start)):
-        sums[2][:, k] += np.bincount(symbols, each[:, k], len(emit))
+        sums[2][:, k] += np.bincount(symbols, ahead[:, k], len(emit))
     return out
 
 

@@ -113,3 +113,24 @@ def test_whole_texts_are_counted(block):
     sums = [np.zeros(3), np.zeros((3, 3)), np.zeros((6, 3))]
     assert abs(hmm.expect(seqs, start, move, emit, sums, block) - total) < 1e-6
     assert all(np.allclose(a, b, rtol=1e-8, atol=1e-8) for a, b in zip(sums, want, strict=True))
+
+
+def test_emissions_are_taken_once_a_batch():
+    """The steps of a batch work on one table of emissions: none looks its symbols up again, forwards or backwards."""
+
+    class Counted(np.ndarray):
+        looked_up = 0
+
+        def __getitem__(self, key):
+            if isinstance(key, np.ndarray):
+                Counted.looked_up += 1
+            return np.asarray(self)[key]
+
+    r = np.random.default_rng(5)
+    seqs = [r.integers(0, 20, n).astype("<u2") for n in (1, 7, 30, 30, 2)]
+    start, move, emit = r.dirichlet(np.ones(3)), r.dirichlet(np.ones(3), 3), r.dirichlet(np.ones(20), 3).T.copy()
+    plain, counted = ([np.zeros(3), np.zeros((3, 3)), np.zeros((20, 3))] for _ in range(2))
+    want = hmm.expect(seqs, start, move, emit, plain)
+    got = hmm.expect(seqs, start, move, emit.view(Counted), counted)
+    assert Counted.looked_up == 1 and got == want and all(np.allclose(a, b) for a, b in zip(plain, counted, strict=True))
+    assert np.isclose(want, hmm.forward(seqs, start, move, emit).sum()) and np.isclose(plain[2].sum(), sum(map(len, seqs)))
