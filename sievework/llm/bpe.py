@@ -198,16 +198,9 @@ class Automaton:
         return b"".join(map(self.emit.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-_built: dict[str, Automaton] = {}
-
-
 def automaton(raw: str) -> Automaton:
-    """One automaton a worker and vocabulary."""
-    key = hashlib.sha256(raw.encode()).hexdigest()
-    if key not in _built:
-        _built.clear()
-        _built[key] = Automaton(raw)
-    return _built[key]
+    """One automaton a task: workers outlive a query, and its tables, of 130 MB when full, would lie in them through whatever they run next."""
+    return Automaton(raw)
 
 
 def _read(tokenizer: str) -> str:

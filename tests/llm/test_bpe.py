@@ -62,3 +62,15 @@ def test_rows(spark, library):
     full = {r.doc_id: r for r in bpe.encode(df, PATH, decoded=True).collect()}
     assert full[3].token_ids == library.encode("Hé llo").ids and full[3].decoded == "Hé llo" and full[1].token_ids == []
     assert bpe.token_digests(df.limit(0), PATH).count() == 0
+
+
+def test_a_task_leaves_no_tables_behind():
+    """A worker goes on to other jobs: what it held for one must be gone with the task."""
+    import gc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    list(bpe._encode(iter([pa.RecordBatch.from_pydict({"text": ["some words", None]})]), SimpleNamespace(value=bpe._read(PATH)), "text", True))
+    gc.collect()
+    assert not [x for x in gc.get_objects() if type(x) is bpe.Automaton]
