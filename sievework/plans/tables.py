@@ -103,7 +103,8 @@ select category, count(*) as models, sum(types)::bigint as types, sum(constraint
 def fzn_constraint_types(spark, d):
     """Types of constraints by their category in each model, with the mean number of variables, added up over the models."""
     both = _files(spark, d).union(_nested(spark, d).withColumn("file", F.concat(F.lit("nested "), "file")))
-    counts = flatzinc.type_counts(Rounds(spark).kept(flatzinc.tables(both)))
+    rounds = Rounds(spark)
+    counts = rounds.kept_by(flatzinc.type_counts(flatzinc.kept_tables(both, rounds)), "file")
     categories = spark.createDataFrame([("arithmetic", "int_lin_eq"), ("arithmetic", "int_plus"), ("global", "fzn_all_different_int"), ("zz", "int_lin_eq")], "category string, member string")
     h = flatzinc.type_headers(counts, categories)
     return h.groupBy("category").agg(F.count("*").alias("models"), F.sum("types").alias("types"), F.sum("constraints").alias("constraints"), F.round(F.sum("arity"), 4).alias("arity"))
@@ -126,14 +127,16 @@ def styled_summary(spark, d):
 @query_of("with l as (select l_orderkey, count(*) as n from lineitem group by 1), x as (select unnest([4, 3, 2, 1]) as degree, unnest([1, 1, 2, n - 1]) as c from l) select degree::bigint as degree, sum(c)::bigint as variables from x where c > 0 group by 1")
 def fzn_degrees(spark, d):
     """How many variables of the nested models are named so often in constraints."""
-    t = Rounds(spark).kept(flatzinc.tables(_nested(spark, d)))
-    return flatzinc.degree_table(t).groupBy("degree").agg(F.count("*").alias("variables"))
+    rounds = Rounds(spark)
+    t = flatzinc.kept_tables(_nested(spark, d), rounds)
+    return rounds.kept_by(flatzinc.degree_table(t), "file").groupBy("degree").agg(F.count("*").alias("variables"))
 
 
 @query_of("select l_orderkey::varchar as file, 'xs' as name, count(*) as elements, 1::bigint as low, max(cast(l_quantity as int))::bigint as high from lineitem group by 1")
 def fzn_array_spans(spark, d):
     """What the domains of each model's array of variables span."""
-    return flatzinc.array_spans(Rounds(spark).kept(flatzinc.tables(_files(spark, d))))
+    rounds = Rounds(spark)
+    return rounds.kept_by(flatzinc.array_spans(flatzinc.kept_tables(_files(spark, d), rounds)), "file")
 
 
 @query_of("select o_orderpriority as model, o_orderstatus as status, 'Top' as variant, 0.2::double as temperature, count(*) as n from orders where o_orderkey % 3 > 0 and o_orderkey % 5 > 0 group by 1, 2")
